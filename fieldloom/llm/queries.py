@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import bpe, embedding_dedup, packing, quality_rules, sharding, token_output
 from .common import documents
 
 try:  # the vocabularies' folder is a parameter of the operators; this is the default of the queries
@@ -24,5 +24,28 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op3_packing": op3_packing, "op10_token_output": op10_token_output}
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 8)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_packing": op3_packing,
+    "op5_bpe": op5_bpe,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_token_output": op10_token_output,
+}
 ORACLE_SQL: dict[str, str] = {}
