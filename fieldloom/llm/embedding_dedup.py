@@ -114,7 +114,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         })
 
     label_type = v.schema["label"].dataType.simpleString()
-    packed = dealt.groupBy("label", "block", "blocks").applyInArrow(pack, f"label {label_type}, block int, blocks int, rep array<long>, copies array<long>, dims array<int>, v binary")
+    packed = dealt.groupBy("label", "block", "blocks").applyInArrow(pack, f"label {label_type}, block int, blocks int, rep array<long>, copies array<long>, dims array<long>, v binary")
     packed = scratch.table(packed, "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sides = packed.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -158,9 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_rep = reps.join(links, reps.rep == links.id, "left").drop("id").join(classes, F.col("rep") == classes.id, "left")
     per_rep = per_rep.select(F.xxhash64("label", "v").alias("h"), F.col("label").alias("rl"), F.col("v").alias("rv"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > SALT, SALT - 1).otherwise(0))).alias("salt"), (F.col("copies") > SALT).alias("hot"))
-    hot = per_rep.where("hot and salt = 0").select("h", F.lit(True).alias("is_hot"))
     members = v.withColumn("h", F.xxhash64("label", "v"))
-    del hot
     spread = per_rep.select("h", "rl", "rv", "n_links", "component_id", F.col("salt"), "hot")
     own = F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).cast("int")
     # a representative with many copies is there once for each salt, others at salt 0 only
