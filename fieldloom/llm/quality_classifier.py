@@ -39,8 +39,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     marks = sum(text.count(c) for c in "#*$%&<>!@")
     dense = [letters / n, sum(map(text.count, "0123456789")) / n, text.count(" ") / n, marks / n, text.count("|") / m, 1 - len(set(words)) / m, float(len(words) < 12)]
     idx = np.fromiter(seen, np.int64, len(seen))
-    val = np.full(len(idx), 1 / np.sqrt(max(1, len(idx))))
-    return np.concatenate([idx, WORDS + np.arange(len(SHARES) + 1)]), np.concatenate([val, 4 * np.array(dense), [1.0]])
+    return np.concatenate([idx, WORDS + np.arange(len(SHARES) + 1)]), np.concatenate([np.full(len(idx), 0.3), 4 * np.array(dense), [1.0]])
 
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 1e-5, steps: int = 400) -> np.ndarray:
