@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-WORDS = 1 << 15
+WORDS = 1 << 18
+LEAST_ROWS = 4
 WORD = re.compile(r"\w+")
 SHARES = ("upper", "digit", "space", "mark", "bar", "repeat", "short")
 
@@ -39,24 +40,31 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     marks = sum(text.count(c) for c in "#*$%&<>!@")
     dense = [letters / n, sum(map(text.count, "0123456789")) / n, text.count(" ") / n, marks / n, text.count("|") / m, 1 - len(set(words)) / m, float(len(words) < 12)]
     idx = np.fromiter(seen, np.int64, len(seen))
-    return np.concatenate([idx, WORDS + np.arange(len(SHARES) + 1)]), np.concatenate([np.full(len(idx), 0.3), 4 * np.array(dense), [1.0]])
+    return np.concatenate([idx, WORDS + np.arange(len(SHARES) + 1)]), np.concatenate([np.ones(len(idx)), 4 * np.array(dense), [1.0]])
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 1e-5, steps: int = 400) -> np.ndarray:
-    """Weights by accelerated full gradients with a step for each coordinate."""
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> np.ndarray:
+    """Weights by accelerated full gradients with a step for each coordinate.
+
+    A word counts only if LEAST_ROWS labelled rows hold it, by its log count ratio between both kinds of rows."""
     size = WORDS + len(SHARES) + 1
     w = np.zeros(size)
     if len(y) == 0 or y.min() == y.max():
         return w
     at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     idx, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+    yes, all_rows = np.bincount(idx, y[at], size), np.bincount(idx, minlength=size)
+    ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((all_rows - yes + 1) / (len(y) - y.sum() + 2))
+    ratio[all_rows < LEAST_ROWS] = 0.0
+    ratio[WORDS:] = 1.0
+    val = val * ratio[idx]
     m, s = np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(at, val * w[idx], len(rows)), -30, 30)))
         g = np.bincount(idx, val * (p - y)[at], size) / len(rows) + l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return w
+        w -= 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return w * ratio
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) -> np.ndarray:

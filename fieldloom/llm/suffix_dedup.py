@@ -28,6 +28,8 @@ from .common import Scratch, mix64
 GRAM = 32
 PIECE = 64
 SHALLOW = 64
+#: Runs that one sorting task handles on average.
+BUCKET_RUNS = 2048
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -91,10 +93,10 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
-def equal_groups(data: bytes, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """Groups of two or more ``starts`` whose ``length`` bytes are equal, in suffix order."""
+def equal_groups(data: bytes, starts: np.ndarray, length: int, group: np.ndarray) -> list[np.ndarray]:
+    """Groups of two or more ``starts`` of one ``group`` whose ``length`` bytes are equal, in suffix order."""
     flat = np.frombuffer(data + bytes(8), np.uint8)
-    group, index = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    index = np.arange(len(starts))
     for depth in range(0, min(SHALLOW, length - length % 8), 8):
         word = np.zeros(len(index), np.uint64)
         for b in range(8):
@@ -142,6 +144,7 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     kinds = scratch.table(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     sample = kinds.join(several, "gram", "left_semi").select(F.col("at.rep").alias("doc_id"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1")
+    sample = scratch.table(sample, "samples")
     wanted = sample.groupBy("doc_id").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1")).alias("runs"))
     piece_names = ["gram", "piece", "span", "l0", "l1", "data"]
 
@@ -164,14 +167,13 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
         l0, l1 = table.column("l0").to_numpy(), table.column("l1").to_numpy()
         base = np.cumsum([0] + [len(r) for r in raw])
         whole = b"".join(raw)
-        out_row, out_l = [], []
-        for off in range(int(l0.min()), int(l1.max()) + 1):
-            rows = np.flatnonzero((l0 <= off) & (off <= l1))
-            if len(rows) > 1:
-                for leaf in equal_groups(whole, base[rows] + l1[rows] - off, length):
-                    out_row.append(rows[leaf])
-                    out_l.append(np.full(len(leaf), off))
-        rows, ls = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_row, out_l))
+        many = l1 - l0 + 1
+        row = np.repeat(np.arange(len(raw)), many)
+        off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + l0[row]
+        gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
+        leaves = equal_groups(whole, base[row] + l1[row] - off, length, gram[row] * length + off)
+        picked = np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
+        rows, ls = row[picked], off[picked]
         order = np.lexsort((ls, rows))
         rows, ls = rows[order], ls[order]
         first = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(ls) != 1))) if len(rows) else np.zeros(0, np.int64)
@@ -179,7 +181,8 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
         part = table.take(pa.array(rows[first], pa.int64()))
         return pa.table({"gram": part.column("gram"), "span": part.column("span"), "l0": pa.array(ls[first], pa.int64()), "l1": pa.array(ls[last], pa.int64())})
 
-    partly = pieces.groupBy("gram", "piece").applyInArrow(sort, "gram long, span binary, l0 long, l1 long")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sample.count() // BUCKET_RUNS + 1)
+    partly = pieces.groupBy(F.pmod(F.xxhash64("gram", "piece"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "gram long, span binary, l0 long, l1 long")
     whole = kinds.where("n > 1").select("gram", "span", "l0", "l1")
     hits = scratch.table(whole.union(partly).groupBy("gram", "span").agg(F.collect_list(F.struct("l0", "l1")).alias("ls")), "hits")
     spots = found.join(hits, ["gram", "span"]).select("rep", "p", F.explode("ls").alias("l")).select("rep", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b"))
