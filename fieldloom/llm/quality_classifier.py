@@ -43,10 +43,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([idx, WORDS + np.arange(len(SHARES) + 1)]), np.concatenate([np.ones(len(idx)), 4 * np.array(dense), [1.0]])
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> np.ndarray:
+def scaled(idx: np.ndarray, val: np.ndarray) -> np.ndarray:
+    """Values with words divided by the root of their number: style counts, and not length."""
+    return np.where(idx < WORDS, val / np.sqrt(max(1, len(idx) - len(SHARES) - 1)), val)
+
+
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, by_ratio: bool, steps: int = 400) -> np.ndarray:
     """Weights by accelerated full gradients with a step for each coordinate.
 
-    A word counts only if LEAST_ROWS labelled rows hold it, by its log count ratio between both kinds of rows."""
+    ``by_ratio``: a word counts only if LEAST_ROWS labelled rows hold it, by its log count ratio between both kinds."""
     size = WORDS + len(SHARES) + 1
     w = np.zeros(size)
     if len(y) == 0 or y.min() == y.max():
@@ -57,13 +62,16 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: f
     ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((all_rows - yes + 1) / (len(y) - y.sum() + 2))
     ratio[all_rows < LEAST_ROWS] = 0.0
     ratio[WORDS:] = 1.0
+    if not by_ratio:
+        ratio[:] = 1.0
+    rate, l2 = (0.03, 1e-4) if by_ratio else (0.1, 1e-5)
     val = val * ratio[idx]
     m, s = np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(at, val * w[idx], len(rows)), -30, 30)))
         g = np.bincount(idx, val * (p - y)[at], size) / len(rows) + l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     return w * ratio
 
 
@@ -80,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) -> np.n
 
     rows = got.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "i binary, v binary, quality int, toxic int").collect()
     f = [(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.v)) for r in rows]
-    return np.array([fit_logistic(f, np.array([float(r[k]) for r in rows])) for k in (2, 3)])
+    quality, toxic = (np.array([float(r[k]) for r in rows]) for k in (2, 3))
+    return np.array([fit_logistic([(i, scaled(i, v)) for i, v in f], quality, False), fit_logistic(f, toxic, True)])
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
@@ -90,7 +99,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, site
 
     def run(batches):
         for batch in batches:
-            out = np.array([weights[:, i] @ v for i, v in map(features, batch.column(3).to_pylist())]).reshape(-1, 2)
+            out = np.array([(weights[0, i] @ scaled(i, v), weights[1, i] @ v) for i, v in map(features, batch.column(3).to_pylist())]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["doc_id", "host", "path", "doc_score", "toxic_score"])
 
