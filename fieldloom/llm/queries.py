@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
+from . import bpe, embedding_dedup, lm, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
 from .common import documents
 
 try:  # the vocabularies' folder is a parameter of the operators; this is the default of the queries
@@ -52,6 +52,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), 0.8)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm": op9_lm,
     "op10_token_output": op10_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}
