@@ -90,6 +90,25 @@ def greedy_basis(demand: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(basis).T
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchange; no threaded library call, which can block in a driver that has forked."""
+    n = len(a)
+    work = np.hstack([a.astype(float), np.eye(n)])
+    for c in range(n):
+        r = c + int(np.argmax(np.abs(work[c:, c])))
+        if r != c:
+            work[[c, r]] = work[[r, c]]
+        work[c] /= work[c, c]
+        factor = work[:, c].copy()
+        factor[c] = 0.0
+        work -= factor[:, None] * work[c]
+    return work[:, n:]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(1)
+
+
 def cutting_stock(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as rows over the classes, how often each is used): covers ``demand`` exactly in integers.
 
@@ -102,8 +121,8 @@ def cutting_stock(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, ro
         return np.zeros((0, len(demand)), np.int64), np.zeros(0, np.int64)
     need = demand[live].astype(float)
     basis = greedy_basis(demand, capacity)[live]
-    inverse = np.linalg.inv(basis)
-    use = np.maximum(inverse @ need, 0)
+    inverse = _inverse(basis)
+    use = np.maximum(_times(inverse, need), 0)
     value, best, bound = np.zeros(len(demand)), None, 0.0
     for k in range(1, rounds):
         duals = np.maximum(inverse.sum(0), 0)
@@ -119,7 +138,7 @@ def cutting_stock(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, ro
             break
         if use.sum() <= bound * (1 + tolerance):
             break
-        step = inverse @ column
+        step = _times(inverse, column)
         up = step > 1e-9
         out = int(np.argmin(np.where(up, use / np.where(up, step, 1), np.inf)))
         ratio = use[out] / step[out]
@@ -129,11 +148,11 @@ def cutting_stock(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, ro
         basis[:, out] = column
         if k % 100:
             pivot = inverse[out] / step[out]
-            inverse -= np.outer(step, pivot)
+            inverse -= step[:, None] * pivot
             inverse[out] = pivot
         else:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ need, 0)
+            inverse = _inverse(basis)
+            use = np.maximum(_times(inverse, need), 0)
     patterns, left, times = [], demand.astype(np.int64).copy(), []
     for j in np.argsort(-use):
         pattern = np.zeros(len(demand), np.int64)
