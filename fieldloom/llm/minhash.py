@@ -6,10 +6,13 @@ dart's height says which weights it lies under. Ranks are opened up to a bound t
 coordinate has a dart; the earliest dart of each coordinate is the signature. Agreement per coordinate has the
 probability of the weighted Jaccard similarity.
 
-Equal texts are one representative first. A band's bucket compares its members with its least member; those that
-are below the threshold form the next round's bucket, until none is left, so pairs grow with the bucket's size and
-not its square, and no member goes without comparison. Every link is checked on the whole shingle sets.
-Components of the links are the classes.
+Equal texts are one representative first. A band's bucket is worked off in rounds: some of its members, picked by
+hash, are compared with all its members of other classes, and are done with then. Picked are only members outside the
+bucket's largest class, 8 times as many a round, so that large groups of copies link in the first round and few
+rounds follow; a bucket of one class needs no more. So every two members of a bucket are compared or known to be
+of one class: no class is parted for want of a comparison. A bucket of n texts that are all unlike takes n * n / 2
+checks. Pairs whose numbers of shingles alone rule out the threshold are not fetched; all others are checked
+on the whole shingle sets. Components of the links are the classes.
 
 Defined results: null and empty texts are one group of equal texts; repeated rows are copies; an empty table gives
 no rows; further columns are ignored.
@@ -27,6 +30,8 @@ from .components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BANDS, ROWS = 24, 4
+#: Members of a bucket that the first round picks; each later round picks GROWTH times as many.
+PICKED, GROWTH = 8, 8
 
 
 def shingles(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +88,7 @@ def _similar(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_links, component_id, kept) of every row; links are between different texts."""
+    """(doc_id, component_id, kept) of every row; a class is named by its least doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,7 +100,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     def sign(batches):
         for batch in batches:
-            ids, sig, els, wts = batch.column(0).to_pylist(), [], [], []
+            ids, sig, els, wts, total = batch.column(0).to_pylist(), [], [], [], []
             for t in batch.column(1).to_pylist():
                 e, w = shingles(t)
                 s = dart_minhash(e, w.astype(float)).reshape(BANDS, ROWS)
@@ -105,11 +110,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
                 sig.append(band.astype(np.int64).tolist())
                 els.append(e.tobytes())
                 wts.append(w.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(els, pa.binary()), pa.array(wts, pa.binary())], names=["rep", "bands", "elements", "weights"])
+                total.append(int(w.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(els, pa.binary()), pa.array(wts, pa.binary()), pa.array(total, pa.int64())], names=["rep", "bands", "elements", "weights", "total"])
 
-    signed = scratch.table(reps.select("doc_id", "text").mapInArrow(sign, "rep long, bands array<long>, elements binary, weights binary"), "signed")
-    open_rows = signed.select("rep", F.posexplode("bands").alias("band", "key"))
-    links = None
+    signed = scratch.table(reps.select("doc_id", "text").mapInArrow(sign, "rep long, bands array<long>, elements binary, weights binary, total long"), "signed")
 
     def check(batches):
         for batch in batches:
@@ -117,25 +121,39 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
             ok = [_similar(*p) >= threshold for p in zip(*parts)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok)], names=["a", "b", "ok"])
 
-    rows = open_rows.select("rep", "band", "key")
+    rows = signed.select("rep", "total", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = scratch.table(rows.join(shared, ["band", "key"]), "buckets")
+    links, classes, slots = None, None, PICKED
     while True:
-        heads = rows.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = scratch.table(rows.join(heads, ["band", "key"]).where("rep <> a").select("band", "key", "a", F.col("rep").alias("b")), "pairs")
-        if pairs.isEmpty():
+        at = rows.withColumn("component", F.col("rep"))
+        if classes is not None:
+            at = rows.join(classes, rows.rep == classes.id, "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
+            sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+            at = at.join(largest, ["band", "key"])
+            # a member of the largest class is partner only; done members outside it are gone from the rows
+            at = scratch.table(at.withColumn("partner", F.col("component") == F.col("largest")).drop("largest"), "open")
+            picked = at.where("not partner")
+        else:
+            picked = at
+        picked = picked.groupBy("band", "key", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("rep", "total", "component")).alias("p"))
+        picked = scratch.table(picked.select("band", "key", F.col("p.rep").alias("p"), F.col("p.total").alias("p_total"), F.col("p.component").alias("p_component")), "picked")
+        if picked.isEmpty():
             break
-        todo = pairs.select("a", "b").distinct()
+        close = F.least("total", "p_total") >= F.greatest("total", "p_total") * (threshold - 1e-9)
+        met = at.join(picked, ["band", "key"]).where((F.col("component") != F.col("p_component")) & close)
+        todo = met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         if links is not None:
             todo = todo.join(links, ["a", "b"], "left_anti")
         x = signed.select(F.col("rep").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
         y = signed.select(F.col("rep").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
         checked = scratch.table(todo.join(x, "a").join(y, "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(check, "a long, b long, ok boolean"), "checked")
         links = checked if links is None else links.union(checked)
-        rows = scratch.table(pairs.join(links.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select(F.col("b").alias("rep"), "band", "key"), "open")
-    out = members.join(firsts, "h").select("doc_id", "rep")
-    if links is None:
-        return out.select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"), (F.col("doc_id") == F.col("rep")).alias("kept"))
-    good = links.where("ok").select("a", "b").distinct()
-    degree = good.select(F.col("a").alias("rep")).union(good.select(F.col("b").alias("rep"))).groupBy("rep").count()
-    classes = components(good, scratch)
-    table = firsts.join(degree, "rep", "left").join(classes, firsts.rep == classes.id, "left").select("h", F.coalesce("count", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    return members.join(table, "h").select("doc_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        rows = at.join(picked.select("band", "key", F.col("p").alias("rep")), ["band", "key", "rep"], "left_anti").select("rep", "total", "band", "key")
+        classes = components(links.where("ok").select("a", "b"), scratch)
+        slots *= GROWTH
+    table = firsts.select("h", F.col("rep").alias("component_id"))
+    if classes is not None:
+        table = firsts.join(classes, firsts.rep == classes.id, "left").select("h", F.coalesce("component", "rep").alias("component_id"))
+    return members.join(table, "h").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

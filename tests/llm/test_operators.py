@@ -90,3 +90,41 @@ def test_empty_documents(spark):
     assert suffix_dedup.dedup(empty).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
     assert lm.score(empty).count() == 0
+
+
+def _classes_by_brute_force(texts, threshold=0.8):
+    bags, parent = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        bags.setdefault(t or "", []).append(i)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def link(i, j):
+        i, j = root(i), root(j)
+        parent[max(i, j)] = min(i, j)
+
+    sets = []
+    for t, ids in bags.items():
+        for i in ids[1:]:
+            link(ids[0], i)
+        sets.append((ids[0], dict(zip(*minhash.shingles(t)))))
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            low = sum(min(n, b[e]) for e, n in a.items() if e in b)
+            if low >= threshold * (sum(a.values()) + sum(b.values()) - low):
+                link(i, j)
+    return {i: root(i) for i in texts}
+
+
+def test_minhash_classes_against_brute_force(spark, texts):
+    base = [f"w{k}" for k in range(200)]
+    chain = [" ".join(base[:k] + [f"x{j}" for j in range(k)] + base[k:]) for k in (0, 14, 28, 42)]  # neighbours alike only
+    unlike = [" ".join(base[:120] + [f"u{n}_{k}" for k in range(80)]) for n in range(30)]  # share a bucket at times
+    near = [" ".join(base[:n] + [f"n{n}"] + base[n + 1 :]) for n in range(60, 100)]
+    made = dict(enumerate([*chain, *unlike, *near, *near[:5], None, "", "a b", "a b"], 1_000_000))
+    docs = spark.createDataFrame(list((dict(texts) | made).items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == _classes_by_brute_force(dict(texts) | made)
