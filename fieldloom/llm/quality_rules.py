@@ -3,7 +3,9 @@
 1. Base counts (words, symbols, repeated lines and 5-word windows) are built-in array functions of each row.
 2. Two histograms, over classes of characters and over the language's commonest words (and one cell for all
    other words), are compared with references summed over all documents of the language.
-3. A text fails if a distance is beyond its limit; texts below the minimum lengths are not judged by it.
+3. A text fails if a distance is beyond its limit; texts below the minimum lengths are not judged by it. The limit of
+   the word distance falls with a text's length, as a short text is far from its language by chance: all texts without
+   a common word are only about 0.41 away, since most of a language's words fall in the cell of all others.
 
 The reference is one row a language with a fixed number of cells; word counts are summed before any shuffle.
 
@@ -74,8 +76,11 @@ def _half_kl(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / ((p + q) / 2))).otherwise(0.0) / 2
 
 
-def judged(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.95, min_chars: int = 200, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, class_distance, word_distance, base_failed and kept for every row."""
+def judged(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.44, long_word_distance: float = 0.33, word_noise: float = 6.0, min_chars: int = 200, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base counts, class_distance, word_distance, base_failed and kept for every row.
+
+    The limit of a text of n words is sqrt(long_word_distance ** 2 + word_noise / n), max_word_distance at most.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality_rules")
     base = scratch.table(base_counts(docs, id_col, text_col), "base")
@@ -106,7 +111,8 @@ def judged(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance:
     out = base.join(refs, "lang").join(word_d, ["key", "lang"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far_c = (F.col("chars") >= min_chars) & (F.col("class_distance") > max_class_distance)
-    far_w = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
+    limit_w = F.least(F.lit(max_word_distance), F.sqrt(F.lit(long_word_distance**2) + word_noise / F.col("n_words")))
+    far_w = (F.col("n_words") >= min_words) & (F.col("word_distance") > limit_w)
     return (
         out.withColumn("class_distance", F.when(F.col("chars") > 0, F.sqrt(F.greatest(F.lit(0.0), class_d))))
         .withColumn("base_failed", failed)
