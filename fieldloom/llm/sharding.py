@@ -7,7 +7,8 @@ weighted medians of all nodes together; the driver sees at most nodes x bins row
 
 Defined results: a null text has size 1 and checksum 0; repeated rows share a shard and get slots of their own;
 an empty table gives no rows; further columns are ignored. Law: ``bytes``, sizes as near equal as whole groups of
-equal texts allow.
+equal texts allow: copies of one text that outweigh an equal share are a shard alone, and the tree parts all other
+rows into the shards that are left. There are fewer than ``n_shards`` only where there are fewer different texts.
 """
 
 from __future__ import annotations
@@ -43,21 +44,33 @@ def _leaf(splits: dict[int, tuple[str, float]], node: int) -> Column:
     return F.when(F.col(dim) < F.lit(cut), _leaf(splits, 2 * node)).otherwise(_leaf(splits, 2 * node + 1))
 
 
+def _wants(totals: dict[int, int], fixed: int, leaves: int) -> dict[int, int]:
+    """Leaves that each node is to have: one each, then always one more to the largest by leaf; ``fixed`` have one."""
+    wants = dict.fromkeys(totals, 1)
+    for _ in range(leaves - fixed - len(totals) if totals else 0):
+        wants[max(totals, key=lambda n: (totals[n] / (wants[n] + 1), n))] += 1
+    return wants
+
+
 def kd_splits(rows: DataFrame, dims: list[str], target_bytes: float | None = None, leaves: int | None = None) -> dict[int, tuple[str, float]]:
     """Splits by node number (root 1), until there are ``leaves`` of them or all hold at most ``target_bytes``."""
     splits: dict[int, tuple[str, float]] = {}
     while True:
         box = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
         nodes = rows.groupBy(_leaf(splits, 1).alias("node")).agg(F.sum("size").alias("total"), *box).collect()  # one row a leaf
-        if leaves is not None:
-            todo = nodes if len(splits) + 1 < leaves else []
-        else:
-            todo = [n for n in nodes if n.total > target_bytes]
-        open_nodes = {}
-        for n in todo:
+        open_nodes, totals = {}, {}
+        for n in nodes:
             dim = max(dims, key=lambda d: n[f"hi_{d}"] - n[f"lo_{d}"])
             if n[f"hi_{dim}"] > n[f"lo_{dim}"]:
                 open_nodes[n.node] = [dim, n[f"lo_{dim}"], n[f"hi_{dim}"], 0.0, n.total / 2]
+                totals[n.node] = n.total
+        if leaves is not None:
+            wants = _wants(totals, len(nodes) - len(totals), leaves)
+            for node, want in wants.items():
+                open_nodes[node][4] = totals[node] * (want // 2) / want
+            open_nodes = {node: state for node, state in open_nodes.items() if wants[node] > 1}
+        else:
+            open_nodes = {node: state for node, state in open_nodes.items() if totals[node] > target_bytes}
         if not open_nodes:
             return splits
         for _ in range(PASSES):
@@ -86,11 +99,25 @@ def kd_splits(rows: DataFrame, dims: list[str], target_bytes: float | None = Non
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for all rows; ``n_shards`` is a power of two."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for all rows."""
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = scratch.table(metadata(docs, id_col, text_col), "metadata")
     dims = [c for c in rows.columns if c.startswith("d_")]
-    splits = kd_splits(rows, dims, leaves=n_shards)
+    # copies of one text that outweigh an equal share of what is left; at most n_shards rows
+    groups = rows.groupBy(*dims).agg(F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), *dims).limit(n_shards).collect()
+    rest, heavy = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], []
+    for g in groups:
+        if len(heavy) == n_shards - 1 or g["bytes"] * (n_shards - len(heavy)) <= rest:
+            break
+        heavy.append(g)
+        rest -= g["bytes"]
+    alone = F.lit(None).cast("int")
+    for k, g in enumerate(heavy):
+        same = F.lit(True)
+        for d in dims:
+            same = same & (F.col(d) == F.lit(g[d]))
+        alone = F.when(same, k).otherwise(alone)
+    splits = kd_splits(rows.where(alone.isNull()), dims, leaves=n_shards - len(heavy))
     order = []
 
     def walk(node: int) -> None:
@@ -100,11 +127,12 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         else:
             order.append(node)
 
-    walk(1)
+    if rest:
+        walk(1)
     leaf = _leaf(splits, 1)
     number = F.lit(0)
     for k, node in enumerate(order):
         number = F.when(leaf == node, k).otherwise(number)
-    placed = rows.select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"))
+    placed = rows.select("doc_id", "size", "text_crc32", F.coalesce(alone + len(order), number).cast("int").alias("shard"))
     ranked = dense_rank_rows(placed, "shard", [F.col("doc_id"), F.col("text_crc32")], rows.count(), [F.col("doc_id"), F.col("text_crc32")], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
