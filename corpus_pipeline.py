@@ -1,7 +1,8 @@
 """A training corpus from raw documents: rules, classifier, near-duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet in
-the shared folder and read again. All but the last return the columns of documents.
+the shared folder and read again. All but the last return the columns of documents. The first four number their rows
+once and go by these numbers, so that null and repeated ids neither lose a row nor lend one row the verdict of another.
 """
 
 from __future__ import annotations
@@ -16,25 +17,35 @@ from fieldloom.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``row``, a number made once: the table is written and read again."""
+    return Scratch(spark, "rows").table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _keep(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return rows.join(verdicts.where("kept").select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules.judged(docs))
+    rows = _numbered(spark, docs)
+    return _keep(rows, quality_rules.judged(rows, id_col="row"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = _numbered(spark, docs)
+    return _keep(rows, quality_classifier.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_col="row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, minhash.near_duplicates(docs, 0.8))
+    """One row of each class, also where all its rows have one id."""
+    rows = _numbered(spark, docs)
+    return _keep(rows, minhash.near_duplicates(rows, 0.8, id_col="row"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.dedup(docs, 400).select("doc_id", F.col("kept").alias("text"))
-    out = left.join(docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"]), "doc_id")
+    rows = _numbered(spark, docs)
+    left = suffix_dedup.dedup(rows, 400, id_col="row").select(F.col("doc_id").alias("row"), F.col("kept").alias("text"))
+    out = left.join(rows.select("row", "doc_id", "lang", "source"), "row")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

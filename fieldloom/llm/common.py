@@ -56,6 +56,13 @@ def parts_for(spark: SparkSession, n_bytes: float, target: int = 32 << 20) -> in
     return int(max(spark.sparkContext.defaultParallelism, n_bytes // target + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def same_row(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with the further columns of ``marks``, joined by id and text hash (doc_id, h); null ids are equal."""
+    names = {c: f"__{c}" for c in ("doc_id", "h")}
+    right = marks.withColumnsRenamed(names)
+    return rows.join(right, rows.h.eqNullSafe(right["__h"]) & rows.doc_id.eqNullSafe(right["__doc_id"])).drop(*names.values())
+
+
 def dense_rank_rows(df: DataFrame, key: str, order: list[Column], n_rows: int, salt: list[Column], rank: str) -> DataFrame:
     """Gapless ranks from 0 among the rows of each ``key``, without gathering a key in one task.
 

@@ -14,18 +14,22 @@ of one class: no class is parted for want of a comparison. A bucket of n texts t
 checks. Pairs whose numbers of shingles alone rule out the threshold are not fetched; all others are checked
 on the whole shingle sets. Components of the links are the classes.
 
-Defined results: null and empty texts are one group of equal texts; repeated rows are copies; an empty table gives
-no rows; further columns are ignored.
+Texts are numbered once, by their hash, so that ids play no part in what is compared.
+
+Defined results: null and empty texts are one group of equal texts; repeated rows are copies, and of each class one
+row is kept, with the class's least id. A class without an id, and one whose least id names another class already (an
+id with several texts), is named by a negative number from its least text hash. An empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, same_row
 from .components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -88,15 +92,14 @@ def _similar(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, kept) of every row; a class is named by its least doc_id."""
+    """(doc_id, component_id, kept) of every row; a class is named by its least doc_id; one row of it is kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("h"), text.alias("text"))
     members = scratch.table(keyed.select("doc_id", "h"), "members")
-    firsts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    # only a copy that is not the first of its text is left out; no text is shuffled for that
-    reps = keyed.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    firsts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("t", F.monotonically_increasing_id()), "texts")
+    reps = same_row(keyed, firsts.select(F.col("rep").alias("doc_id"), "h", "t")).select("t", "text").dropDuplicates(["t"])
 
     def sign(batches):
         for batch in batches:
@@ -113,7 +116,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
                 total.append(int(w.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(els, pa.binary()), pa.array(wts, pa.binary()), pa.array(total, pa.int64())], names=["rep", "bands", "elements", "weights", "total"])
 
-    signed = scratch.table(reps.select("doc_id", "text").mapInArrow(sign, "rep long, bands array<long>, elements binary, weights binary, total long"), "signed")
+    signed = scratch.table(reps.select("t", "text").mapInArrow(sign, "rep long, bands array<long>, elements binary, weights binary, total long"), "signed")
 
     def check(batches):
         for batch in batches:
@@ -153,7 +156,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         rows = at.join(picked.select("band", "key", F.col("p").alias("rep")), ["band", "key", "rep"], "left_anti").select("rep", "total", "band", "key")
         classes = components(links.where("ok").select("a", "b"), scratch)
         slots *= GROWTH
-    table = firsts.select("h", F.col("rep").alias("component_id"))
+    table = firsts.select("h", "rep", F.col("t").alias("class"))
     if classes is not None:
-        table = firsts.join(classes, firsts.rep == classes.id, "left").select("h", F.coalesce("component", "rep").alias("component_id"))
-    return members.join(table, "h").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        table = firsts.join(classes, firsts.t == classes.id, "left").select("h", "rep", F.coalesce("component", "t").alias("class"))
+    # the kept text of a class: of least id, then of least hash; a class without an id has only its hash
+    table = scratch.table(table, "classes")
+    least = table.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("f"), F.min("h").alias("least_h"))
+    least = scratch.table(least.select("class", F.col("f.rep").alias("first_id"), F.col("f.h").alias("first_h"), "least_h"), "named")
+    owners = least.where("first_id is not null").groupBy("first_id").agg(F.min("least_h").alias("owner"))
+    number = -1 - F.conv(F.substring("least_h", 1, 15), 16, 10).cast("long")
+    named = least.join(owners, "first_id", "left").select("class", "first_id", "first_h", F.when(F.col("owner") == F.col("least_h"), F.col("first_id")).otherwise(number).alias("component_id"))
+    rows = members.join(table.join(named, "class").select("h", "first_id", "first_h", "component_id"), "h")
+    first = (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("component_id")) == 1
+    return rows.withColumn("kept", first & once).select("doc_id", "component_id", "kept")

@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) -> np.n
     return np.array([fit_logistic([(i, scaled(i, v)) for i, v in f], quality, False), fit_logistic(f, toxic, True)])
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, site_weight: float = 0.5, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, doc_score, toxic_score, host_posterior, path_posterior, posterior, kept) of every row."""
     scratch = Scratch(docs.sparkSession, "quality_classifier")
     weights = train(docs, labels, max_labelled)
@@ -103,7 +103,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, site
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["doc_id", "host", "path", "doc_score", "toxic_score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     scored = scratch.table(rows.mapInArrow(run, "doc_id long, host string, path string, doc_score double, toxic_score double"), "scored")
     paths = scratch.table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
