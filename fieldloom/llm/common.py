@@ -56,11 +56,14 @@ def parts_for(spark: SparkSession, n_bytes: float, target: int = 32 << 20) -> in
     return int(max(spark.sparkContext.defaultParallelism, n_bytes // target + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def same_row(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """``rows`` with the further columns of ``marks``, joined by id and text hash (doc_id, h); null ids are equal."""
-    names = {c: f"__{c}" for c in ("doc_id", "h")}
-    right = marks.withColumnsRenamed(names)
-    return rows.join(right, rows.h.eqNullSafe(right["__h"]) & rows.doc_id.eqNullSafe(right["__doc_id"])).drop(*names.values())
+def same_row(rows: DataFrame, marks: DataFrame, once: bool = False) -> DataFrame:
+    """``rows`` with the further columns of ``marks``, joined by id and text hash (doc_id, h); null ids are equal.
+
+    ``once`` leaves one of equal rows, in the join's own partitions, so that no text is shuffled again for it.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    out = rows.withColumn("__id", key).join(marks.withColumn("__id", key).drop("doc_id"), ["h", "__id"])
+    return (out.dropDuplicates(["h", "__id"]) if once else out).drop("__id")
 
 
 def dense_rank_rows(df: DataFrame, key: str, order: list[Column], n_rows: int, salt: list[Column], rank: str) -> DataFrame:

@@ -7,7 +7,8 @@ log probabilities quantised to 16 bits. Texts go to the shards as packed queries
 on to the word shards for back-off weight and word probability. Words are known by 64-bit hashes.
 
 Defined results: a null text is the end token alone; without training tokens every token has the same base
-probability; repeated rows are summed under their id; an empty table gives no rows; further columns are ignored.
+probability; repeated rows are summed under their id, rows with a
+null id under the null id, which is never held out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _unique_pairs(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 1
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
 def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,32 +157,33 @@ def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col:
     def ask(batches):
         memo: dict = {}
         for batch in batches:
-            cols: list = [[], [], [], []]
+            cols: list = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 v, w, n = _unique_pairs(*_pairs(text, memo))
-                for c, x in zip(cols, (np.full(len(v), doc, np.int64), v, w, n.astype(np.int32))):
+                for c, x in zip(cols, (np.full(len(v), doc or 0, np.int64), v, w, n.astype(np.int32), np.full(len(v), doc is None))):
                     c.append(x)
             if not cols[0]:
                 continue
-            doc, v, w, n = map(np.concatenate, cols)
+            doc, v, w, n, none = map(np.concatenate, cols)
             shard = shard_of(v, w)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            order = np.lexsort((none, shard))
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order].astype(np.int64) * 2 + none[order])) + 1):
                 blob = zlib.compress(b"".join((doc[part].tobytes(), v[part].tobytes(), w[part].tobytes(), n[part].tobytes())), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[part[:1]]), pa.array([len(part)], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "n", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[part[:1]]), pa.array([len(part)], pa.int32()), pa.array([blob], pa.binary()), pa.array(none[part[:1]])], names=["shard", "n", "q", "none"])
 
-    asked = rows.mapInArrow(ask, "shard int, n int, q binary")
+    asked = rows.mapInArrow(ask, "shard int, n int, q binary, none boolean")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         blob = right.column("blob")[0].as_py() if right.num_rows else None
-        for k, q in zip(left.column("n").to_pylist(), left.column("q").to_pylist()):
+        for k, q, none in zip(left.column("n").to_pylist(), left.column("q").to_pylist(), left.column("none").to_pylist()):
             raw = zlib.decompress(q)
             doc, v, w, n = np.frombuffer(raw, np.int64, k), np.frombuffer(raw, np.uint64, k, 8 * k), np.frombuffer(raw, np.uint64, k, 16 * k), np.frombuffer(raw, np.int32, k, 24 * k)
             p = find(blob, v, w) if blob else np.full(k, np.nan)
             miss = np.isnan(p)
-            out.append((doc, v.astype(np.int64), w.astype(np.int64), n.astype(np.int64), np.where(miss, 0.0, p * n), miss))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64,) * 4 + (float, bool)]
+            out.append((doc, v.astype(np.int64), w.astype(np.int64), n.astype(np.int64), np.where(miss, 0.0, p * n), miss, np.full(k, none)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64,) * 4 + (float, bool, bool)]
+        cols = [pa.array(cols[0], pa.int64(), mask=cols[6]), *cols[1:6]]
         return pa.table(dict(zip(("doc_id", "v", "w", "n", "s", "miss"), cols)))
 
     got = asked.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answer, "doc_id long, v long, w long, n long, s double, miss boolean")
@@ -191,4 +193,5 @@ def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col:
     by_word = base.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10("p")).alias("base_score"), F.sum(F.col("s") + F.when(F.col("miss"), F.col("n") * F.log10("p")).otherwise(0.0)).alias("s"))
     back = got.where("miss").join(contexts, "v").groupBy("doc_id").agg(F.sum(F.col("n") * F.log10("rest")).alias("back"))
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    return by_word.join(back, "doc_id", "left").select("doc_id", (crc % 5 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("s") + F.coalesce("back", F.lit(0.0))).alias("score"))
+    back = back.withColumnRenamed("doc_id", "__id")
+    return by_word.join(back, by_word.doc_id.eqNullSafe(back["__id"]), "left").select("doc_id", F.coalesce(crc % 5 == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("s") + F.coalesce("back", F.lit(0.0))).alias("score"))

@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("h"), text.alias("text"))
     members = scratch.table(keyed.select("doc_id", "h"), "members")
     firsts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("t", F.monotonically_increasing_id()), "texts")
-    reps = same_row(keyed, firsts.select(F.col("rep").alias("doc_id"), "h", "t")).select("t", "text").dropDuplicates(["t"])
+    reps = same_row(keyed, firsts.select(F.col("rep").alias("doc_id"), "h", "t"), once=True).select("t", "text")
 
     def sign(batches):
         for batch in batches:

@@ -10,8 +10,11 @@
    are repeated.
 4. The intervals found go back to all runs, and each text is cut once.
 
-Defined results: a null text is empty and keeps nothing; repeated rows are copies of each other; texts below the
-length are kept whole; an empty table gives no rows; further columns are ignored.
+Texts are numbered once, by their hash, so that ids play no part in what is searched.
+
+Defined results: a null text is empty and keeps nothing; repeated rows are copies of each other; rows with a null id
+or with an id that other texts have too are treated as all others, and every row comes back; texts below the length
+are kept whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, same_row
 
 GRAM = 32
 PIECE = 64
@@ -124,9 +127,9 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("h", F.sha2("data", 256))
     members = scratch.table(keyed.select("doc_id", "h"), "members")
-    texts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    single = keyed.join(texts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "data")
-    names = ["rep", "p", "s0", "s1", "gram", "span"]
+    texts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("t", F.monotonically_increasing_id()), "texts")
+    single = same_row(keyed, texts.select(F.col("rep").alias("doc_id"), "h", "t"), once=True).select("t", "data")
+    names = ["t", "p", "s0", "s1", "gram", "span"]
 
     def find(batches):
         for batch in batches:
@@ -138,14 +141,14 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
                 cols = [pa.array(np.full(len(p), doc)), pa.array(p), pa.array(s0), pa.array(s1), pa.array(g.astype(np.int64)), pa.array(spans, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    found = scratch.table(single.where(F.octet_length("data") >= length).mapInArrow(find, "rep long, p long, s0 long, s1 long, gram long, span binary"), "runs")
+    found = scratch.table(single.where(F.octet_length("data") >= length).mapInArrow(find, "t long, p long, s0 long, s1 long, gram long, span binary"), "runs")
     # a run's windows by offset l = p - s; runs of one content have one range of offsets
-    kinds = found.groupBy("gram", "span", (F.col("p") - F.col("s1")).alias("l0"), (F.col("p") - F.col("s0")).alias("l1")).agg(F.count("*").alias("n"), F.min(F.struct("rep", "p")).alias("at"))
+    kinds = found.groupBy("gram", "span", (F.col("p") - F.col("s1")).alias("l0"), (F.col("p") - F.col("s0")).alias("l1")).agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("at"))
     kinds = scratch.table(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    sample = kinds.join(several, "gram", "left_semi").select(F.col("at.rep").alias("doc_id"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1")
+    sample = kinds.join(several, "gram", "left_semi").select(F.col("at.t").alias("t"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1")
     sample = scratch.table(sample, "samples")
-    wanted = sample.groupBy("doc_id").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1")).alias("runs"))
+    wanted = sample.groupBy("t").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1")).alias("runs"))
     piece_names = ["gram", "piece", "span", "l0", "l1", "data"]
 
     def cut(batches):
@@ -160,7 +163,7 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
                 cols = list(zip(*rows[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=piece_names)
 
-    pieces = single.join(wanted, "doc_id").select("data", "runs").mapInArrow(cut, "gram long, piece int, span binary, l0 long, l1 long, data binary")
+    pieces = single.join(wanted, "t").select("data", "runs").mapInArrow(cut, "gram long, piece int, span binary, l0 long, l1 long, data binary")
 
     def sort(table: pa.Table) -> pa.Table:
         raw = table.column("data").to_pylist()
@@ -185,12 +188,12 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     partly = pieces.groupBy(F.pmod(F.xxhash64("gram", "piece"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "gram long, span binary, l0 long, l1 long")
     whole = kinds.where("n > 1").select("gram", "span", "l0", "l1")
     hits = scratch.table(whole.union(partly).groupBy("gram", "span").agg(F.collect_list(F.struct("l0", "l1")).alias("ls")), "hits")
-    spots = found.join(hits, ["gram", "span"]).select("rep", "p", F.explode("ls").alias("l")).select("rep", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b"))
-    per_rep = spots.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    marks = texts.join(per_rep, "rep", "left").select("h", (F.col("copies") > 1).alias("copied"), "spans")
+    spots = found.join(hits, ["gram", "span"]).select("t", "p", F.explode("ls").alias("l")).select("t", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b"))
+    per_text = spots.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    marks = texts.join(per_text, "t", "left").select("h", (F.col("copies") > 1).alias("copied"), "spans")
     marks = scratch.table(marks, "marks")
     of_doc = members.join(marks, "h").select("doc_id", "h", "copied", "spans").dropDuplicates(["doc_id", "h"])
-    return keyed.join(of_doc, ["doc_id", "h"]).select("doc_id", "data", F.when(F.col("copied") & (F.octet_length("data") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("data").cast("long").alias("b")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))).alias("spans"))
+    return same_row(keyed, of_doc).select("doc_id", "data", F.when(F.col("copied") & (F.octet_length("data") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("data").cast("long").alias("b")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
