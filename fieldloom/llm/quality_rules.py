@@ -22,6 +22,7 @@ from .common import Scratch
 
 #: White space between words (fixed values): space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
+JAVA_WS = " \\t\\n\\x0B\\f\\r"
 SYMBOLS = "#*$%&|<>"
 #: Classes of characters by the code points they hold; the last cell takes all others.
 CLASSES = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "stop": ".,;:!?'\"()-", "symbol": SYMBOLS + "@=+_/\\~^`{}[]", "space": WS}
@@ -29,19 +30,14 @@ COMMON = 48
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, WS, " " * len(WS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{JAVA_WS}]+"), "")
 
 
-def _windows(words: Column) -> Column:
-    """The text's 5-word windows in order, each with its first word's place."""
-    return F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, 5)).alias("w"), i.alias("i"))))
-
-
-def _covered(windows: Column) -> Column:
-    """Words covered by windows that occur twice or more; ``windows`` must be a column, not an expression."""
-    twice = F.transform(windows, lambda s, k: F.when((s["w"] == F.get(windows, k - 1)["w"]) | (s["w"] == F.get(windows, k + 1)["w"]), s["i"]))
+def _covered(hashes: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more. The columns below are named, so that none is made anew."""
+    twice = F.transform(hashes, lambda s, k: F.when((s["h"] == F.get(hashes, k - 1)["h"]) | (s["h"] == F.get(hashes, k + 1)["h"]), s["i"]))
     return F.aggregate(
-        F.array_sort(F.filter(twice, lambda i: i.isNotNull())),
+        F.sort_array(F.filter(twice, lambda i: i.isNotNull())),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, i: F.struct((i + 5).alias("end"), (acc["n"] + i + 5 - F.greatest(acc["end"], i)).alias("n")),
         lambda acc: acc["n"],
@@ -53,23 +49,30 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts of each row. Windows are told apart by a 64-bit hash of their words' hashes. Small letters, then white
+    space, are taken off first, so that the other classes are counted in the few characters that are left."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("text"), F.xxhash64(text).alias("key"))
-    df = df.withColumn("words", words_of(F.col("text")))
-    df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, WS, "") != ""))
-    df = df.withColumn("hashes", F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("windows", F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), _windows(F.col("words"))))
-    classes = [_without(F.col("text"), chars).cast("double") for chars in CLASSES.values()]
-    return df.select(
-        "doc_id", "key", "lang",
-        F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - _without(F.col("text"), WS)).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+    df = df.withColumn("no_small", F.regexp_replace("text", "[a-z]+", ""))
+    df = df.withColumn("rest", F.regexp_replace("no_small", f"[{JAVA_WS}]+", ""))
+    df = df.withColumn("words", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
+    df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))
+    n, small, space = F.size("words"), F.length("text") - F.length("no_small"), F.length("no_small") - F.length("rest")
+    classes = [{"lower": small, "space": space}.get(name, _without(F.col("rest"), chars)).cast("double") for name, chars in CLASSES.items()]
+    df = df.select(
+        "doc_id", "key", "lang", "words",
+        n.cast("long").alias("n_words"),
+        (F.length("text") - space).cast("long").alias("word_chars"),
+        _without(F.col("rest"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_covered(F.col("windows")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("text").cast("double").alias("chars"),
         F.array(*classes).alias("classes"),
     )
+    window = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, 5))))
+    df = df.withColumn("hashes", F.slice(window, F.lit(1), F.greatest(n - 4, F.lit(0)))).drop("words")
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    df = df.withColumn("placed", F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), placed)).drop("hashes")
+    return df.withColumn("n_repeat_words", F.coalesce(_covered(F.col("placed")), F.lit(0)).cast("long")).drop("placed")
 
 
 def _half_kl(p: Column, q: Column) -> Column:
@@ -96,15 +99,19 @@ def judged(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance:
     first = first.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__s").orderBy(F.desc("count"), "word"))).where(F.col("__r") <= COMMON)
     top = first.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("__r") <= COMMON)
     top = scratch.table(top.join(totals, "lang").select("lang", "word", (F.col("count") / F.col("all_words")).alias("q")), "common")
-    # distance over the common cells that a text has; those that it lacks give half of their own share
-    per_cell = words.join(top, ["lang", "word"], "left").groupBy("key", "lang", F.when(F.col("q").isNotNull(), F.col("word")).alias("cell"), "q").agg(F.count("*").cast("double").alias("n"))
-    per_text = per_cell.groupBy("key", "lang").agg(F.sum("n").alias("m"), F.collect_list(F.struct("n", "q")).alias("cells"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("seen"))
+    # distance over the common cells that a text has; those that it lacks give half of their own share. Copies of a
+    # text are counted together, and so is their number of words
+    per_cell = words.join(top, ["lang", "word"]).groupBy("key", "lang", "word", "q").agg(F.count("*").cast("double").alias("n"))
+    per_text = per_cell.groupBy("key", "lang").agg(F.collect_list(F.struct("n", "q")).alias("cells"), F.sum("q").alias("seen"), F.sum("n").alias("common"))
     all_q = top.groupBy("lang").agg(F.sum("q").alias("all_q"))
+    lengths = base.where("n_words > 0").groupBy("key", "lang").agg(F.sum("n_words").cast("double").alias("m"))
+    sides = lengths.join(per_text, ["key", "lang"], "left").join(all_q, "lang")
     rest = F.greatest(F.lit(0.0), 1 - F.col("all_q"))
     js = lambda p, q: _half_kl(p, q) + _half_kl(q, p)
-    known = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(c["q"].isNotNull(), js(c["n"] / F.col("m"), c["q"])).otherwise(js(c["n"] / F.col("m"), rest)))
-    no_rest = F.when(F.exists("cells", lambda c: c["q"].isNull()), 0.0).otherwise(rest / 2)
-    word_d = per_text.join(all_q, "lang").select("key", "lang", F.sqrt(F.greatest(F.lit(0.0), known + (F.col("all_q") - F.col("seen")) / 2 + no_rest)).alias("word_distance"))
+    known = F.coalesce(F.aggregate("cells", F.lit(0.0), lambda a, c: a + js(c["n"] / F.col("m"), c["q"])), F.lit(0.0))
+    other = js(1 - F.coalesce("common", F.lit(0.0)) / F.col("m"), rest)
+    lacking = (F.col("all_q") - F.coalesce("seen", F.lit(0.0))) / 2
+    word_d = sides.select("key", "lang", F.sqrt(F.greatest(F.lit(0.0), known + lacking + other)).alias("word_distance"))
     mine = F.transform(cells(F.col("classes"), F.col("chars")), lambda c: c / F.col("chars"))
     class_d = F.aggregate(F.zip_with(mine, F.col("ref_classes"), js), F.lit(0.0), lambda a, b: a + b)
     refs = scratch.table(ref_c, "classes")
