@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, dense_rank_rows
-from .tokens import ByteLevelEncoder, in_batches
+from .tokens import encoder, in_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -33,12 +33,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int, id_
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
-        encoder, step = ByteLevelEncoder(tokenizer, "<u4"), 4 * seq_len
+        encode, step = encoder(tokenizer, "<u4").encode, 4 * seq_len
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids, rows = batch.column(0).to_pylist(), []
             for a, b in in_batches(texts, 256, 1 << 20):
-                for doc, raw in zip(ids[a:b], encoder.encode(texts[a:b])):
+                for doc, raw in zip(ids[a:b], encode(texts[a:b])):
                     raw += end
                     for at in range(0, len(raw), step):
                         cut = raw[at : at + step]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts_for
-from .tokens import ByteLevelEncoder, in_batches
+from .tokens import encoder, in_batches
 
 MAGIC, HEAD = b"FLH1", "<4sIIIQ"
 #: Longest code, tokens between bit-offset checkpoints, tokens of a block at least (the last of a batch has fewer).
@@ -141,13 +141,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, before = ByteLevelEncoder(tokenizer, dtype), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(tokenizer, dtype).encode, TaskContext.get().partitionId(), 0
         width = np.dtype(dtype).itemsize
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = []
             for a, b in in_batches(texts, 256, 1 << 20):
-                ids += [x + end for x in encoder.encode(texts[a:b])]
+                ids += [x + end for x in encode(texts[a:b])]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -45,28 +46,40 @@ class ByteLevelEncoder:
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.dtype, self.memo, self.alphabet = dtype, {}, byte_alphabet()
+        self.dtype, self.kind, self.memo, self.alphabet = dtype, {"<u2": "H", "<u4": "I"}[dtype], {}, byte_alphabet()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The library's model on whole pre-tokens, spelled in the byte alphabet."""
-        tokenize, alphabet, dtype = self.tokenizer.model.tokenize, self.alphabet, self.dtype
-        return [np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))], dtype).tobytes() for w in words]
+        tokenize, alphabet, kind = self.tokenizer.model.tokenize, self.alphabet, self.kind
+        spelled = [w.encode().decode("latin-1").translate(alphabet) for w in words]
+        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in spelled]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Encodes a small batch; the order is kept."""
+        memo = self.memo
         plain = [None if not t.isascii() and FAR.search(t) or self.special and self.special.search(t) else BYTE_LEVEL.findall(t) for t in texts]
-        new = set().union(*(p for p in plain if p)) - self.memo.keys()
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*(p for p in plain if p))
-            new = list(new)
-            self.memo.update(zip(new, self._words(new)))
-        get = self.memo.__getitem__
-        return [self._library([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, plain)]
+        new = list({w for p in plain if p for w in p if w not in memo})
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list({w for p in plain if p for w in p})
+        memo.update(zip(new, self._words(new)))
+        far = [t for t, p in zip(texts, plain) if p is None]
+        whole = iter(self._library(far) if far else [])
+        get = memo.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in plain]
+
+
+_encoders: dict[tuple[str, str], ByteLevelEncoder] = {}
+
+
+def encoder(path: str, dtype: str = "<u4") -> ByteLevelEncoder:
+    """The encoder of this worker process, with what it remembers from its earlier tasks."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = ByteLevelEncoder(path, dtype)
+    return _encoders[path, dtype]
 
 
 def in_batches(values: list, step: int = 64, most: int = 1 << 18):
