@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rotation import squared_length, transform, transformed
+
 #: Names of the models, by their first three letters (fixed values).
 MODELS = ("nug", "sph", "exp", "gau", "hol", "pow", "bsq", "cir", "lin", "cyc", "dco")
 
@@ -60,21 +62,81 @@ def rho_values(model: str, r: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Structure:
+    """One nested structure. ``range`` is the major range; minor ones default to it. ``product`` multiplies the group of
+    structures before it in place of being added."""
+
     model: str
     sill: float
-    range: float
+    range: float = 1.0
     nugget: float = 0.0
+    minor1: float | None = None
+    minor2: float | None = None
+    azimuth: float = 0.0
+    dip: float = 0.0
+    plunge: float = 0.0
+    product: bool = False
+
+    def __post_init__(self):
+        model_name(self.model)
+        if self.range <= 0 or (self.minor1 or 1) <= 0 or (self.minor2 or 1) <= 0:
+            raise ValueError("ranges must be positive")
+
+    def matrix(self, ndim: int) -> np.ndarray:
+        """From a lag to its length relative to the range; in one dimension the range is the first minor one."""
+        first, second = (self.range if m is None else m for m in (self.minor1, self.minor2))
+        return transform(ndim, first / self.range, second / self.range, self.azimuth, self.dip, self.plunge) / self.range
+
+    def relative(self, lags: np.ndarray) -> np.ndarray:
+        turned = lags @ self.matrix(lags.shape[-1]).T
+        return np.sqrt((turned * turned).sum(-1))
 
 
 @dataclass(frozen=True)
 class Variogram:
-    """Nested structures, isotropic; the nuggets count at lag 0 only."""
+    """Nested structures: a sum of product groups; the nuggets count at lag 0 only."""
 
     structures: tuple[Structure, ...]
 
-    def at_zero(self) -> float:
-        return sum(s.sill + s.nugget for s in self.structures)
+    def __post_init__(self):
+        if len(self.structures) > 99:
+            raise ValueError("at most 99 structures")
 
-    def covariance(self, h: np.ndarray) -> np.ndarray:
-        out = sum(s.sill * rho_values(s.model, h / s.range) for s in self.structures)
-        return out + np.where(h > 0, 0.0, sum(s.nugget for s in self.structures))
+    def add(self, *args, **kwargs) -> Variogram:
+        return Variogram((*self.structures, Structure(*args, **kwargs)))
+
+    def times(self, *args, **kwargs) -> Variogram:
+        return Variogram((*self.structures, Structure(*args, **kwargs, product=True)))
+
+    def _grouped(self, parts: list):
+        """The sum over groups of the products in each; ``parts``: one value, array or column a structure."""
+        groups: list = []
+        for s, part in zip(self.structures, parts):
+            if s.product and groups:
+                groups[-1] = groups[-1] * part
+            else:
+                groups.append(part)
+        return sum(groups[1:], groups[0]) if groups else 0.0
+
+    def check(self, ndim: int) -> None:
+        if ndim == 3 and any(model_name(s.model) == "hol" for s in self.structures):
+            raise ValueError("the hole effect is not valid in three dimensions")
+
+    def at_zero(self) -> float:
+        return float(self._grouped([s.sill + s.nugget for s in self.structures]))
+
+    def covariance(self, lags: np.ndarray) -> np.ndarray:
+        """Of lag vectors (..., ndim)."""
+        out = self._grouped([s.sill * rho_values(s.model, s.relative(lags)) for s in self.structures])
+        return np.where((lags == 0).all(-1), self.at_zero(), out)
+
+    def covariance_column(self, lags: list[Column]) -> Column:
+        """The same as a column of lag components."""
+        parts = [F.lit(s.sill) * rho(s.model, F.sqrt(squared_length(transformed(s.matrix(len(lags)), lags)))) for s in self.structures]
+        zero = lags[0] == 0
+        for lag in lags[1:]:
+            zero = zero & (lag == 0)
+        return F.when(zero, F.lit(self.at_zero())).otherwise(self._grouped(parts) if parts else F.lit(0.0))
+
+    def describe(self) -> str:
+        lines = [f"{'x' if s.product else '+'} {s.model} sill {s.sill} nugget {s.nugget} range {s.range}, {s.minor1 or s.range}, {s.minor2 or s.range} angles {s.azimuth}, {s.dip}, {s.plunge}" for s in self.structures]
+        return "\n".join([*lines, f"C(0) = {self.at_zero()}"])

@@ -1,46 +1,148 @@
-"""Nearest-neighbour joins of targets with observations."""
+"""Nearest-neighbour joins of targets with sources (observations, or simulated nodes that come earlier).
+
+Targets and sources meet by grid cells: a cell holds about as many sources as are wanted, and a target looks into its own and
+the cells around. Targets whose k-th neighbour lies within the distance that those cells surely cover are done; the
+others go on with cells twice as wide. Sources of a number that one broadcast may hold (SMALL rows) meet all targets.
+"""
 
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Observations up to this number are broadcast; more need a radius, and meet by grid cells.
-BROADCAST_ROWS = 20_000
+from ..functions.rotation import squared_length, transform, transformed
+from .staging import stage
+
+#: Sources that are broadcast to all targets; more meet by cells.
+SMALL = 512
+
+
+@dataclass(frozen=True)
+class Search:
+    """How one variable's neighbours are sought: the nearest ``nmax`` in a space turned and scaled like a model's (ratios
+    of the minor ranges by the major one), then those within ``maxdist`` there; with ``sectors`` the nearest of each
+    quadrant or octant. ``time_at`` scales the last dimension, time, which no sector tells apart."""
+
+    nmax: int = 16
+    maxdist: float | None = None
+    ratio1: float = 1.0
+    ratio2: float = 1.0
+    azimuth: float = 0.0
+    dip: float = 0.0
+    plunge: float = 0.0
+    sectors: bool = False
+    time_at: float | None = None
+
+    def __post_init__(self):
+        if self.nmax < 1 or self.ratio1 <= 0 or self.ratio2 <= 0 or (self.maxdist is not None and self.maxdist < 0):
+            raise ValueError("a search needs nmax >= 1, positive ratios and a distance that is not negative")
+
+    def columns(self, coordinates: list[Column]) -> list[Column]:
+        """Coordinates in search space. Without anisotropy nothing is turned."""
+        space = coordinates if self.time_at is None else coordinates[:-1]
+        if self.ratio1 != 1.0 or self.ratio2 != 1.0:
+            space = transformed(transform(len(space), self.ratio1, self.ratio2, self.azimuth, self.dip, self.plunge), space)
+        return space if self.time_at is None else [*space, coordinates[-1] * F.lit(self.time_at)]
+
+
+def _nearest(t: DataFrame, o: DataFrame, k: int, n: int, maxdist: float | None, ordered: bool, sides: list[str]) -> DataFrame:
+    """``t`` (block_id, t0.., [t_ord]) with its k nearest of ``o`` (sides.., s0.., [s_ord]) and d2, rank."""
+    t_at, s_at = [F.col(f"t{i}") for i in range(n)], [F.col(f"s{i}") for i in range(n)]
+    d2 = squared_length([a - b for a, b in zip(t_at, s_at)])
+    rank = F.row_number().over(Window.partitionBy("block_id").orderBy("d2", *sides))
+    ok = F.col("s_ord") < F.col("t_ord") if ordered else F.lit(True)
+    keep = ["block_id", *sides, "d2"]
+    inside = F.lit(True) if maxdist is None else F.col("d2") <= maxdist * maxdist
+    # one more row than are sent out at once tells whether there are more
+    if o.limit(SMALL + 1).count() <= SMALL:
+        met = t.join(F.broadcast(o), ok, "inner").withColumn("d2", d2).select(keep)
+        return met.withColumn("rank", rank).where((F.col("rank") <= k) & inside)
+    limits = [f(f"s{i}").alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max))]
+    box = o.agg(F.count("*").alias("rows"), *limits).first()
+    reach = t.agg(*(f(f"t{i}").alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    if reach["lo0"] is None:
+        return t.join(o, ok, "inner").withColumn("d2", d2).select(keep).withColumn("rank", F.lit(1)).limit(0)
+    spans = [box[f"hi{i}"] - box[f"lo{i}"] for i in range(n)]
+    whole = max(max(box[f"hi{i}"], reach[f"hi{i}"]) - min(box[f"lo{i}"], reach[f"lo{i}"]) for i in range(n))
+    used = [s for s in spans if s > 0]
+    volume = 1.0
+    for s in used:
+        volume *= s
+    cell = (volume * k / box["rows"]) ** (1 / len(used)) if used else max(whole, 1.0)
+    around = F.explode(F.array(*(F.array(*(F.lit(s) for s in shift)) for shift in itertools.product((-1, 0, 1), repeat=n))))
+    o, left, parts = stage(o), stage(t), []
+    while True:
+        last = cell > whole or (maxdist is not None and cell >= maxdist)
+        if cell > whole:
+            met = left.join(o, ok, "inner") if not ordered else left.join(o, ok)
+            sure = F.lit(float("inf"))
+        else:
+            at = lambda c, i: F.floor((c - F.lit(box[f"lo{i}"])) / F.lit(cell)).cast("long")
+            inner = [(c - F.lit(box[f"lo{i}"])) / F.lit(cell) for i, c in enumerate(t_at)]
+            margin = F.least(*(F.least(x - F.floor(x), F.floor(x) + 1 - x) for x in inner), F.lit(0.5))
+            cells = left.withColumn("sure", (margin + 1) * F.lit(cell)).withColumn("__s", around)
+            cells = cells.select("*", *((at(c, i) + F.col("__s")[i]).alias(f"c{i}") for i, c in enumerate(t_at))).drop("__s")
+            near = o.select("*", *(at(c, i).alias(f"c{i}") for i, c in enumerate(s_at)))
+            met = cells.join(near, [f"c{i}" for i in range(n)]).where(ok)
+            sure = F.col("sure") * (1 - 1e-12)
+        ranked = met.select(*keep[:-1], d2.alias("d2"), sure.alias("sure")).withColumn("rank", rank).where(F.col("rank") <= k)
+        if last:
+            parts.append(ranked.drop("sure"))
+            break
+        all_of = Window.partitionBy("block_id")
+        far = F.sqrt(F.max("d2").over(all_of))
+        ranked = stage(ranked.withColumn("done", (F.count("*").over(all_of) == k) & (far <= F.col("sure"))))
+        parts.append(ranked.where("done").drop("sure", "done"))
+        left = stage(left.join(ranked.where("done").select("block_id").distinct(), "block_id", "left_anti"))
+        if left.isEmpty():
+            break
+        if ordered:  # the targets that are left come early, so only early sources matter to them
+            o = stage(o.where(F.col("s_ord") < F.lit(left.agg(F.max("t_ord")).first()[0])))
+        cell *= 2
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where(inside)
+
+
+def neighbours(targets: DataFrame, sources: DataFrame, dims: list[str], search: Search, exclude_self: bool = False, sides: tuple[str, ...] = ("obs_id",), order: str | None = None) -> DataFrame:
+    """(block_id, sides.., d2, rank[, sector]). ``order``: a column of both sides; only sources before the target count.
+
+    Rows with a null coordinate have no neighbours and are none; ties go to the least of ``sides``. ``exclude_self`` leaves
+    out the source whose ``obs_id`` is the target's ``block_id``.
+    """
+    n = len(dims)
+    there = F.lit(True)
+    for d in dims:
+        there = there & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
+    at = search.columns([F.col(d).cast("double") for d in dims])
+    t = targets.where(there).select("block_id", *(c.alias(f"t{i}") for i, c in enumerate(at)), *([F.col(order).alias("t_ord")] if order else []))
+    o = sources.where(there).select(*sides, *(c.alias(f"s{i}") for i, c in enumerate(at)), *([F.col(order).alias("s_ord")] if order else []))
+    space = n - (search.time_at is not None)
+    k = search.nmax * 4 * 2**space if search.sectors else search.nmax
+    near = _nearest(t, o, k + exclude_self, n, search.maxdist, order is not None, list(sides))
+    if exclude_self:
+        # of the nearest k + 1 the target itself goes, or else the farthest; sectors count it among their candidates
+        near = near.where((F.col("rank") <= k) if search.sectors else F.lit(True)).where(F.col(sides[-1]) != F.col("block_id"))
+        again = Window.partitionBy("block_id").orderBy("d2", *sides)
+        near = near.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+    if not search.sectors:
+        return near
+    placed = near.join(t.drop("t_ord") if order else t, "block_id").join(o.drop("s_ord") if order else o, list(sides))
+    sector = sum((F.when(F.col(f"s{i}") < F.col(f"t{i}"), 1 << i).otherwise(0) for i in range(space)), F.lit(0))
+    placed = placed.select("block_id", *sides, "d2", sector.alias("sector"))
+    rank = F.row_number().over(Window.partitionBy("block_id", "sector").orderBy("d2", *sides))
+    return placed.withColumn("rank", rank).where(F.col("rank") <= search.nmax)
 
 
 def knn(targets: DataFrame, obs: DataFrame, k: int, dims: list[str], maxdist: float | None = None, exclude_self: bool = False) -> DataFrame:
     """(block_id, obs_id, d2, rank) of the k nearest observations, ties by obs_id, then within ``maxdist``."""
-    t = targets.select("block_id", *(F.col(d).alias(f"t_{d}") for d in dims))
-    o = obs.select("obs_id", *dims)
-    d2 = sum(((F.col(f"t_{d}") - F.col(d)) * (F.col(f"t_{d}") - F.col(d)) for d in dims), F.lit(0.0))
-    if o.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = t.join(F.broadcast(o))
-    elif maxdist is None:
-        raise ValueError("a search among this many observations needs a maxdist")
-    else:
-        cell = lambda c: F.floor(c / maxdist).cast("long")
-        around = F.array(*(F.array(*(F.lit(s) for s in shift)) for shift in itertools.product((-1, 0, 1), repeat=len(dims))))
-        t = t.withColumn("s", F.explode(around)).select("*", *((cell(F.col(f"t_{d}")) + F.col("s")[n]).alias(f"c{n}") for n, d in enumerate(dims)))
-        o = o.select("*", *(cell(F.col(d)).alias(f"c{n}") for n, d in enumerate(dims)))
-        met = t.join(o, [f"c{n}" for n in range(len(dims))])
-    if exclude_self:
-        met = met.where("obs_id <> block_id")
-    near = met.select("block_id", "obs_id", d2.alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("block_id").orderBy("d2", "obs_id"))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= k)
-    return near if maxdist is None else near.where(F.col("d2") <= maxdist * maxdist)
+    return neighbours(targets, obs, dims, Search(k, maxdist), exclude_self)
 
 
-def sector_knn(targets: DataFrame, obs: DataFrame, k: int, dims: list[str]) -> DataFrame:
+def sector_knn(targets: DataFrame, obs: DataFrame, k: int, dims: list[str], search: Search | None = None) -> DataFrame:
     """The k nearest of each sector (signs of the offsets), among the k * 4 * 2^n nearest of all."""
-    sectors = 2 ** len(dims)
-    near = knn(targets, obs, 4 * k * sectors, dims)
-    t = targets.select("block_id", *(F.col(d).alias(f"t_{d}") for d in dims))
-    placed = near.join(t, "block_id").join(obs.select("obs_id", *dims), "obs_id")
-    sector = sum((F.when(F.col(d) < F.col(f"t_{d}"), 1 << n).otherwise(0) for n, d in enumerate(dims)), F.lit(0))
-    placed = placed.select("block_id", "obs_id", "d2", sector.alias("sector"))
-    rank = F.row_number().over(Window.partitionBy("block_id", "sector").orderBy("d2", "obs_id"))
-    return placed.withColumn("rank", rank).where(F.col("rank") <= k)
+    return neighbours(targets, obs, dims, search or Search(k, sectors=True))
