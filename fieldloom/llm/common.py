@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task of a ranking stage handles; the number of chunks follows the row count.
 CHUNK_ROWS = 20_000
+#: Rows of texts that a Python worker is handed at once, where the session has no smaller number: long texts fill memory.
+BATCH_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        spark.conf.set(rows, min(int(spark.conf.get(rows)), BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/fieldloom/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -42,6 +47,9 @@ class Scratch:
         path = self.path(f"{self._n:03d}_{name}")
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        # shuffles of tables written before are unreachable by now; a collection lets their files go
+        gc.collect()
+        self.spark._jvm.System.gc()
         out.scratch_path = path
         return out
 
@@ -56,16 +64,6 @@ def parts_for(spark: SparkSession, n_bytes: float, target: int = 32 << 20) -> in
     return int(max(spark.sparkContext.defaultParallelism, n_bytes // target + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def same_row(rows: DataFrame, marks: DataFrame, once: bool = False) -> DataFrame:
-    """``rows`` with the further columns of ``marks``, joined by id and text hash (doc_id, h); null ids are equal.
-
-    ``once`` leaves one of equal rows, in the join's own partitions, so that no text is shuffled again for it.
-    """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    out = rows.withColumn("__id", key).join(marks.withColumn("__id", key).drop("doc_id"), ["h", "__id"])
-    return (out.dropDuplicates(["h", "__id"]) if once else out).drop("__id")
-
-
 def dense_rank_rows(df: DataFrame, key: str, order: list[Column], n_rows: int, salt: list[Column], rank: str) -> DataFrame:
     """Gapless ranks from 0 among the rows of each ``key``, without gathering a key in one task.
 

@@ -45,7 +45,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir), 400).drop("kept")
+    return suffix_dedup.dedup(documents(spark, sf_dir), 400).withColumnRenamed("kept", "text")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Suffix-array dedup: bytes under a string of ``length`` bytes that also starts anywhere else are removed.
 
-1. Equal texts are one representative with a count; a text with copies, long enough, goes whole.
-2. In each text every window of ``length`` bytes has an anchor, the leftmost 32-byte gram of least hash in it. Equal
-   windows have equal anchors at equal places. Neighbouring windows of one anchor are a run; a run is known by its
-   gram and by the digest of the bytes it spans.
-3. Runs that occur twice are repeated whole. Of a gram with several different runs, one sample of each run is
-   fetched and cut by window offset; per piece of offsets its suffixes are sorted: multikey quicksort over 8-byte
-   words down to a shallow depth, then blind tries for the groups that still agree. Windows that end in one leaf
-   are repeated.
-4. The intervals found go back to all runs, and each text is cut once.
-
-Texts are numbered once, by their hash, so that ids play no part in what is searched.
+1. In each text every window of ``length`` bytes has an anchor, the leftmost gram of least hash in it; a gram has the
+   greatest power of two of bytes up to a third of the length. Equal windows have equal anchors at equal places.
+   Neighbouring windows of one anchor are a run; a run is known by its gram and by the digest of the bytes it spans.
+   Runs whose gram no other run has are done with.
+2. Runs that occur twice, by that digest, are repeated whole, and so is a text that occurs twice. Of a gram with several
+   different runs, one sample of each run is fetched and cut by window offset; per piece of offsets its suffixes are
+   sorted: multikey quicksort over 8-byte words down to a shallow depth, then blind tries for the groups that still
+   agree. Windows that end in one leaf are repeated.
+3. The intervals found go back to all runs, and each text is cut once.
+
+Texts are known by their 256-bit hash, so that ids play no part in what is searched; of copies that one task reads, one is
+searched.
 
 Defined results: a null text is empty and keeps nothing; repeated rows are copies of each other; rows with a null id
 or with an id that other texts have too are treated as all others, and every row comes back; texts below the length
@@ -26,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, same_row
+from .common import Scratch, mix64
 
-GRAM = 32
 PIECE = 64
 SHALLOW = 64
 #: Runs that one sorting task handles on average.
@@ -36,7 +36,11 @@ BUCKET_RUNS = 2048
 BASE = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: bytes, width: int = GRAM) -> np.ndarray:
+def gram_size(length: int) -> int:
+    return 1 << max(0, (length // 3).bit_length() - 1)
+
+
+def gram_hashes(data: bytes, width: int) -> np.ndarray:
     """Hashes of all grams, by doubling: h(2w) from two h(w)."""
     h, w = mix64(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(BASE)), 1
     while w < width:
@@ -47,8 +51,9 @@ def gram_hashes(data: bytes, width: int = GRAM) -> np.ndarray:
 
 def runs(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor place, first window, last window, gram hash) of each run."""
-    h = gram_hashes(data)
-    width = length - GRAM + 1
+    gram = gram_size(length)
+    h = gram_hashes(data, gram)
+    width = length - gram + 1
     n = len(h) - width + 1
     pad = -len(h) % width
     grid = np.append(h, np.full(pad, np.iinfo(np.uint64).max)).reshape(-1, width)
@@ -96,25 +101,57 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def multikey_quicksort(data: bytes, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, group) of all ``starts`` whose first ``depth`` bytes agree with another's of the same ``group``.
+
+    Groups are in lexicographic order inside each of the groups given. All groups are parted side by side: each round
+    parts a group in three by one 8-byte word, less than, equal to and greater than its middle member's; the equal part
+    goes on with the next word. A start alone in its part is done with.
+    """
+    raw = data + bytes(8)
+    flat = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    index = np.argsort(group, kind="stable")
+    fresh = np.append(True, np.diff(group[index]) != 0)[: len(index)]
+    number, at = np.cumsum(fresh) - 1, np.zeros(len(index), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    rank = np.arange(len(index), dtype=np.int64)  # where a part begins among all, which orders the parts
+    rank = rank[np.flatnonzero(fresh)][number] if len(index) else rank
+    while True:
+        size = np.bincount(number)[number] if len(number) else number
+        ripe = (size > 1) & (at >= depth)
+        if ripe.any():
+            done.append((index[ripe], rank[ripe]))
+        live = (size > 1) & ~ripe
+        index, at, rank, number = index[live], at[live], rank[live], number[live]
+        if not len(index):
+            break
+        begin = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        count = np.diff(np.append(begin, len(number)))
+        word = flat[starts[index] + at].astype(np.uint64)
+        pivot = np.repeat(word[begin + count // 2], count)
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        part = np.repeat(np.arange(len(begin)), count) * 3 + side
+        order = np.argsort(part, kind="stable")
+        index, at, rank, part = index[order], at[order] + 8 * (side[order] == 1), rank[order], part[order]
+        fresh = np.append(True, part[1:] != part[:-1])
+        number = np.cumsum(fresh) - 1
+        begin = np.flatnonzero(fresh)
+        inside = np.flatnonzero(np.append(True, part[1:] // 3 != part[:-1] // 3))
+        origin = np.repeat(inside, np.diff(np.append(inside, len(part))))
+        rank = rank + begin[number] - origin
+    if not done:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index, rank = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(rank, kind="stable")
+    return index[order], rank[order]
+
+
 def equal_groups(data: bytes, starts: np.ndarray, length: int, group: np.ndarray) -> list[np.ndarray]:
     """Groups of two or more ``starts`` of one ``group`` whose ``length`` bytes are equal, in suffix order."""
-    flat = np.frombuffer(data + bytes(8), np.uint8)
-    index = np.arange(len(starts))
-    for depth in range(0, min(SHALLOW, length - length % 8), 8):
-        word = np.zeros(len(index), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | flat[starts[index] + depth + b].astype(np.uint64)
-        order = np.lexsort((word, group))
-        index, g, w = index[order], group[order], word[order]
-        fresh = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
-        group = np.cumsum(fresh)
-        many = np.bincount(group)[group] > 1
-        index, group = index[many], group[many]
-        if not len(index):
-            return []
+    index, part = multikey_quicksort(data, starts, group, min(SHALLOW, length // 8 * 8))
     out = []
-    for members in np.split(index, np.flatnonzero(np.diff(group)) + 1):
-        for leaf in blind_trie([data[s : s + length] for s in starts[members]]):
+    for members in np.split(index, np.flatnonzero(np.diff(part)) + 1) if len(index) else []:
+        for leaf in blind_trie([data[s : s + length] for s in starts[members].tolist()]):
             if len(leaf) > 1:
                 out.append(members[leaf])
     return out
@@ -125,30 +162,37 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix_dedup")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("h", F.sha2("data", 256))
-    members = scratch.table(keyed.select("doc_id", "h"), "members")
-    texts = scratch.table(members.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("t", F.monotonically_increasing_id()), "texts")
-    single = same_row(keyed, texts.select(F.col("rep").alias("doc_id"), "h", "t"), once=True).select("t", "data")
-    names = ["t", "p", "s0", "s1", "gram", "span"]
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
+    keyed = plain.withColumn("h", F.unhex(F.sha2("data", 256)))
+    copied = keyed.where(F.octet_length("data") >= length).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("copied"))
+    names = ["h", "p", "s0", "s1", "gram", "span"]
 
     def find(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(raw) < length:
+            for raw in batch.column(0).to_pylist():
+                h = hashlib.sha256(raw).digest()
+                if h in seen:
                     continue
+                if len(seen) < 1 << 20:
+                    seen.add(h)
                 p, s0, s1, g = runs(raw, length)
                 spans = [hashlib.blake2b(raw[a : b + length], digest_size=16).digest() for a, b in zip(s0.tolist(), s1.tolist())]
-                cols = [pa.array(np.full(len(p), doc)), pa.array(p), pa.array(s0), pa.array(s1), pa.array(g.astype(np.int64)), pa.array(spans, pa.binary())]
+                cols = [pa.array([h] * len(p), pa.binary()), pa.array(p), pa.array(s0), pa.array(s1), pa.array(g.astype(np.int64)), pa.array(spans, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    found = scratch.table(single.where(F.octet_length("data") >= length).mapInArrow(find, "t long, p long, s0 long, s1 long, gram long, span binary"), "runs")
+    long_texts = plain.where(F.octet_length("data") >= length).select("data")
+    found = scratch.table(long_texts.mapInArrow(find, "h binary, p long, s0 long, s1 long, gram long, span binary"), "runs")
+    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    repeated = scratch.table(found.join(again, "gram"), "repeated")
+    scratch.drop(found)
     # a run's windows by offset l = p - s; runs of one content have one range of offsets
-    kinds = found.groupBy("gram", "span", (F.col("p") - F.col("s1")).alias("l0"), (F.col("p") - F.col("s0")).alias("l1")).agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("at"))
+    kinds = repeated.groupBy("gram", "span", (F.col("p") - F.col("s1")).alias("l0"), (F.col("p") - F.col("s0")).alias("l1")).agg(F.count("*").alias("n"), F.min(F.struct("h", "p")).alias("at"))
     kinds = scratch.table(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    sample = kinds.join(several, "gram", "left_semi").select(F.col("at.t").alias("t"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1")
+    sample = kinds.join(several, "gram", "left_semi").select(F.col("at.h").alias("h"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1")
     sample = scratch.table(sample, "samples")
-    wanted = sample.groupBy("t").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1")).alias("runs"))
+    wanted = sample.groupBy("h").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1")).alias("runs"))
     piece_names = ["gram", "piece", "span", "l0", "l1", "data"]
 
     def cut(batches):
@@ -163,7 +207,7 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
                 cols = list(zip(*rows[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=piece_names)
 
-    pieces = single.join(wanted, "t").select("data", "runs").mapInArrow(cut, "gram long, piece int, span binary, l0 long, l1 long, data binary")
+    pieces = keyed.where(F.octet_length("data") >= length).join(wanted, "h").dropDuplicates(["h"]).select("data", "runs").mapInArrow(cut, "gram long, piece int, span binary, l0 long, l1 long, data binary")
 
     def sort(table: pa.Table) -> pa.Table:
         raw = table.column("data").to_pylist()
@@ -188,12 +232,13 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     partly = pieces.groupBy(F.pmod(F.xxhash64("gram", "piece"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "gram long, span binary, l0 long, l1 long")
     whole = kinds.where("n > 1").select("gram", "span", "l0", "l1")
     hits = scratch.table(whole.union(partly).groupBy("gram", "span").agg(F.collect_list(F.struct("l0", "l1")).alias("ls")), "hits")
-    spots = found.join(hits, ["gram", "span"]).select("t", "p", F.explode("ls").alias("l")).select("t", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b"))
-    per_text = spots.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    marks = texts.join(per_text, "t", "left").select("h", (F.col("copies") > 1).alias("copied"), "spans")
-    marks = scratch.table(marks, "marks")
-    of_doc = members.join(marks, "h").select("doc_id", "h", "copied", "spans").dropDuplicates(["doc_id", "h"])
-    return same_row(keyed, of_doc).select("doc_id", "data", F.when(F.col("copied") & (F.octet_length("data") >= length), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("data").cast("long").alias("b")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))).alias("spans"))
+    spots = repeated.join(hits, ["gram", "span"]).select("h", "p", F.explode("ls").alias("l"))
+    spots = spots.select("h", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b")).distinct()
+    per_text = spots.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    marks = scratch.table(per_text.join(copied, "h", "full"), "marks")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("data").cast("long").alias("b")))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    return keyed.join(marks, "h", "left").select("doc_id", "data", F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.coalesce("spans", none)).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
