@@ -276,3 +276,26 @@ def test_score_simulation_stays_in_range(spark):
     t = targets.regular_grid(spark, [5.0, 5.0], [25.0, 25.0], [4, 4])
     got = simulation.score_simulation(obs, t, Kriging(V, search=Search(6)), Tails(z.min() - 1, z.max() + 1), 3, 2).toPandas().value
     assert len(got) == 48 and got.min() >= z.min() - 1 and got.max() <= z.max() + 1
+
+
+def test_simulation_in_time_and_by_sectors(spark):
+    _, z, obs = scattered(spark, 15, 4, ("x", "y", "t"))
+    st = SpaceTimeVariogram(V, Variogram((Structure("exp", 1.0, 30.0, 0.1),)), "product_sum", k=0.2)
+    t = targets.regular_grid(spark, [5.0, 5.0, 5.0], [30.0, 30.0, 40.0], [3, 3, 2], ["x", "y", "t"])
+    k = spacetime(st, nmax=6, time_at=1.0, unbiased=False, means=(float(z.mean()),))
+    got = simulation.simulate(obs, t, k, 2, 5).toPandas()
+    assert len(got) == 36 and np.isfinite(got.value).all()
+    by_sector = Kriging(V, ("x", "y"), Search(2, sectors=True), unbiased=False, means=(0.0,))
+    flat = targets.regular_grid(spark, [5.0, 5.0], [30.0, 30.0], [3, 3])
+    assert np.isfinite(simulation.simulate(obs.drop("t"), flat, by_sector, 1, 5).toPandas().value).all()
+
+
+def test_block_means_and_time_nodes(spark):
+    x, z, obs = scattered(spark, 12)
+    centre = points(spark, np.array([[50.0, 50.0]]))
+    nodes = targets.quadrature_nodes(centre, [10.0, 10.0], ["x", "y"])
+    got = kriging.block_kriging(obs, nodes, V, 12).first()
+    each = kriging.ordinary_kriging(obs, nodes.select(F.col("node_id").cast("long").alias("block_id"), "x", "y"), V, 12).join(nodes.select(F.col("node_id").alias("block_id"), "weight"), "block_id")
+    assert np.isclose(got.estimate, each.agg(F.sum(F.col("estimate") * F.col("weight")) / F.sum("weight")).first()[0], atol=1e-6)
+    alike = targets.weighted_nodes(nodes.drop("weight")).agg(F.sum("weight"), F.min("weight")).first()
+    assert np.allclose(list(alike), [1.0, 1 / 16])
