@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, lm, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
+from . import bpe, embedding_dedup, lm, minhash, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
 from .common import documents
 
 try:  # the vocabularies' folder is a parameter of the operators; this is the default of the queries
@@ -37,7 +38,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(documents(spark, sf_dir))
+    judged = quality_rules.judged(documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +70,8 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash": oracles.NEAR_DUPLICATES,
+    "op7_embedding_dedup": oracles.EMBEDDINGS,
+    "op8_quality_rules": oracles.QUALITY_RULES,
+}
