@@ -20,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and one machine does all the work."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "/tmp/checkpoints/fieldloom"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,6 +40,7 @@ class Scratch:
         spark.conf.set(rows, min(int(spark.conf.get(rows)), BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/fieldloom/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -51,11 +54,22 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
         out.scratch_path = path
+        self._tables.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later stage reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later stage reads."""
+        for df in tables:
+            self._delete(df.scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for path in set(self._tables) - {df.scratch_path for df in tables}:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        self._tables.remove(path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
