@@ -316,6 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     owners = least.where("first_id is not null").groupBy("first_id").agg(F.min("least_h").alias("owner"))
     number = -1 - F.conv(F.substring("least_h", 1, 15), 16, 10).cast("long")
     named = least.join(owners, "first_id", "left").select("class", "first_id", "first_h", F.when(F.col("owner") == F.col("least_h"), F.col("first_id")).otherwise(number).alias("component_id"))
+    scratch.keep(signed, table, least)
     rows = signed.select("doc_id", F.hex("h").alias("h")).join(table.join(named, "class").select("h", "first_id", "first_h", "component_id"), "h")
     first = (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     once = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("component_id")) == 1

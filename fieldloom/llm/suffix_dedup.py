@@ -157,12 +157,12 @@ def equal_groups(data: bytes, starts: np.ndarray, length: int, group: np.ndarray
     return out
 
 
-def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, data, spans): every row's bytes and its maximal removed runs as start, end."""
+def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, data, spans, carry..): every row's bytes and the spans removed as start, end; ``carry``: columns passed on."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix_dedup")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), *(F.col(c).alias(f"c_{c}") for c in carry))
     keyed = plain.withColumn("h", F.unhex(F.sha2("data", 256)))
     copied = keyed.where(F.octet_length("data") >= length).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("copied"))
     names = ["h", "p", "s0", "s1", "gram", "span"]
@@ -230,15 +230,16 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sample.count() // BUCKET_RUNS + 1)
     partly = pieces.groupBy(F.pmod(F.xxhash64("gram", "piece"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "gram long, span binary, l0 long, l1 long")
-    whole = kinds.where("n > 1").select("gram", "span", "l0", "l1")
-    hits = scratch.table(whole.union(partly).groupBy("gram", "span").agg(F.collect_list(F.struct("l0", "l1")).alias("ls")), "hits")
+    alike = kinds.where("n > 1").select("gram", "span", "l0", "l1")
+    hits = scratch.table(alike.union(partly).groupBy("gram", "span").agg(F.collect_list(F.struct("l0", "l1")).alias("ls")), "hits")
     spots = repeated.join(hits, ["gram", "span"]).select("h", "p", F.explode("ls").alias("l"))
     spots = spots.select("h", (F.col("p") - F.col("l.l1")).alias("a"), (F.col("p") - F.col("l.l0") + length).alias("b")).distinct()
     per_text = spots.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     marks = scratch.table(per_text.join(copied, "h", "full"), "marks")
+    scratch.keep(marks)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("data").cast("long").alias("b")))
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return keyed.join(marks, "h", "left").select("doc_id", "data", F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.coalesce("spans", none)).alias("spans"))
+    return keyed.join(marks, "h", "left").select("doc_id", "data", F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.coalesce("spans", none)).alias("spans"), *(f"c_{c}" for c in carry))
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
@@ -251,8 +252,8 @@ def _merged(spans: list[dict]) -> list[list[int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` is what is left, with bytes that no longer
+def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, carry..): ``kept`` is what is left, with bytes that no longer
     form a character dropped from the text's form."""
 
     def run(batches):
@@ -267,6 +268,9 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                 rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), *batch.columns[3:]], names=[*names, *carry])
 
-    return removed_spans(docs, length, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return removed_spans(docs, length, id_col, text_col, carry).mapInArrow(run, schema)
