@@ -1,13 +1,16 @@
 """Embedding near-dedup: dual traversal of cover trees, exact threshold pairs.
 
 1. Equal vectors of a label become one representative with a count.
-2. Representatives of a label are dealt by hash into blocks of bounded size; each block pair is one task.
-3. A task builds a cover tree for both blocks (nested levels, halving radii) and walks both together, level by
-   level: a pair of nodes is dropped when its centres lie further apart than both covering radii and the link
-   distance together. Only points below nodes that are left are compared, in double precision.
+2. The tree's upper level is shared: up to PIVOTS representatives, picked by hash among the largest labels, are centres;
+   each representative belongs to its label's nearest centre. Cells whose covering radii and the link distance together
+   fall short of their centres' distance never meet. A cell of more than BLOCK vectors is dealt by hash into blocks.
+3. A task has the blocks of one pair that may meet. It builds a cover tree for each (nested levels, halving radii,
+   centres of one node further apart than its children's radius) and walks both together: a pair of nodes is dropped when
+   their centres lie further apart than both covering radii and the link distance; else the wider one is
+   opened. Only pairs of leaves that are left are multiplied, in double precision.
 4. A task returns link counts and a spanning forest, never all pairs; components come from the forests.
 
-Blocks of a label meet in all pairs, so work on one label grows with its square; pruning depends on the data.
+On vectors without clusters next to nothing can be ruled out, and work on one label grows with its square.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null label,
 link with nothing and are kept; vectors of different length never link; repeated rows link with each other; an
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -26,58 +29,68 @@ from .components import components
 
 BLOCK = 2048
 SALT = 64
-
-
-def cover_tree(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels of (centres, parent in the level above, covering radius); the last level holds every point."""
-    n = len(x)
-    node = np.zeros(n, np.int64)  # each point's node at the level above
-    levels, radius = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([np.sqrt(((x - x[0]) ** 2).sum(1)).max()]))], 1.0
-    while radius > 0.06:
-        centres, parents, cover, below = [], [], [], np.empty(n, np.int64)
-        order = np.argsort(node, kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-            rest = members
-            while len(rest):
-                dist = np.sqrt(((x[rest] - x[rest[0]]) ** 2).sum(1))
-                near = dist <= radius
-                near[0] = True
-                below[rest[near]] = len(centres)
-                centres.append(rest[0])
-                parents.append(node[rest[0]])
-                cover.append(dist[near].max())
-                rest = rest[~near]
-        levels.append((np.array(centres), np.array(parents), np.array(cover)))
-        node, radius = below, radius / 2
-        if len(centres) == n:
-            break
-    levels.append((np.arange(n), node, np.zeros(n)))
-    return levels
-
-
-def close_points(x: np.ndarray, y: np.ndarray, tx: list, ty: list, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that the dual traversal cannot rule out."""
-    depth = max(len(tx), len(ty))
-    at = lambda t, k: t[k] if k < len(t) - 1 else t[-1]
-    live, kx, ky = np.ones((1, 1), bool), 0, 0
-    for k in range(1, depth):
-        for side in (0, 1):
-            t, now = (tx, kx) if side == 0 else (ty, ky)
-            if now < len(t) - 1:
-                parent = t[now + 1][1]
-                live = live[parent] if side == 0 else live[:, parent]
-                if side == 0:
-                    kx += 1
-                else:
-                    ky += 1
-        (cx, _, rx), (cy, _, ry) = at(tx, kx), at(ty, ky)
-        rows, cols = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
-        if not len(rows):
-            break
-        dot = x[cx[rows]] @ y[cy[cols]].T
-        far = np.sqrt(np.maximum(0, 2 - 2 * dot)) > rx[rows, None] + ry[None, cols] + reach + 1e-7
-        live[np.ix_(rows, cols)] &= ~far
-    return np.nonzero(live)
+#: Centres of the shared level in all, vectors of one leaf, and slack for rounding of distances.
+PIVOTS, LEAF, SLACK = 1024, 32, 1e-7
+
+
+class CoverTree:
+    """Nodes over points in one order, each a slice: centre (a row), covering radius, slice, children (empty: leaf)."""
+
+    def __init__(self, x: np.ndarray):
+        self.order, self.nodes = np.arange(len(x)), []
+        if len(x):
+            self._grow(x, 0, len(x), 2.0)
+        self.x = x[self.order]
+
+    def _grow(self, x: np.ndarray, a: int, b: int, radius: float) -> int:
+        mine = self.order[a:b]
+        far = np.sqrt(np.maximum(0, ((x[mine] - x[mine[0]]) ** 2).sum(1)))
+        number, cover = len(self.nodes), float(far.max())
+        self.nodes.append(node := [x[mine[0]], cover, a, b, []])
+        if b - a <= LEAF or cover == 0:
+            return number
+        while radius > cover:
+            radius /= 2
+        rest, parts = mine, []
+        while len(rest):
+            near = ((x[rest] - x[rest[0]]) ** 2).sum(1) <= radius * radius
+            near[0] = True
+            parts.append(rest[near])
+            rest = rest[~near]
+        self.order[a:b] = np.concatenate(parts)
+        for part in parts:
+            node[4].append(self._grow(x, a, a + len(part), radius / 2))
+            a += len(part)
+        return number
+
+
+def close_pairs(tx: CoverTree, ty: CoverTree, reach: float, cosine: float):
+    """Blocks (rows of tx, rows of ty, mask) of pairs with at least ``cosine``; with tx as ty, each pair is met once or both
+    ways in a block of its own with itself."""
+    same = tx is ty
+    stack = [(0, 0)] if tx.nodes and ty.nodes else []
+    while stack:
+        i, j = stack.pop()
+        (ci, ri, a0, a1, below_i), (cj, rj, b0, b1, below_j) = tx.nodes[i], ty.nodes[j]
+        if not below_i and not below_j:
+            hit = tx.x[a0:a1] @ ty.x[b0:b1].T >= cosine
+            if hit.any():
+                yield slice(a0, a1), slice(b0, b1), hit
+            continue
+        if same and i == j:
+            stack += [(p, q) for k, p in enumerate(below_i) for q in below_i[k:]]
+            continue
+        first = bool(below_i) and (not below_j or ri >= rj)
+        nodes, centre, radius, below = (tx.nodes, cj, rj, below_i) if first else (ty.nodes, ci, ri, below_j)
+        centres, radii = np.array([nodes[k][0] for k in below]), np.array([nodes[k][1] for k in below])
+        near = np.sqrt(((centres - centre) ** 2).sum(1)) <= radii + radius + reach + SLACK
+        stack += [(below[k], j) if first else (i, below[k]) for k in np.flatnonzero(near).tolist()]
+
+
+def unit(vectors: list[np.ndarray]) -> np.ndarray:
+    x = np.array(vectors)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,59 +115,94 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
     v = v.withColumn("fine", fine)
     reps = scratch.table(v.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    sizes = reps.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = reps.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("v", "rep"), F.col("blocks")).cast("int"))
+    reach = float(np.sqrt(2 - 2 * threshold))
+    # the shared level: centres in proportion to their labels' sizes, PIVOTS rows at most
+    sizes = reps.groupBy("label").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    wanted = sizes.orderBy(F.desc("n"), "label").limit(PIVOTS // 2).withColumn("k", F.least(F.ceil(F.col("n") / BLOCK), F.floor(F.col("n") * (PIVOTS // 2) / total) + 1).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("v", "rep"), "rep"))
+    pivots = reps.join(F.broadcast(wanted.select("label", "k")), "label").withColumn("nth", nth).where("nth <= k").select("label", "nth", "v")
+    chosen: dict = {}
+    for r in pivots.collect():
+        chosen.setdefault((r.label, len(r.v)), []).append(np.array(r.v))
+    centres = {key: unit(vs) for key, vs in chosen.items()}
+    label_type = v.schema["label"].dataType.simpleString()
+
+    def cell(batches):
+        for batch in batches:
+            labels, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cells, far = np.zeros(len(labels), np.int32), np.full(len(labels), 2.0)
+            groups: dict = {}
+            for k, (label, vec) in enumerate(zip(labels, vectors)):
+                groups.setdefault((label, len(vec)), []).append(k)
+            for key, rows in groups.items():
+                if key in centres:
+                    x = unit([np.array(vectors[k], float) for k in rows])
+                    dot = x @ centres[key].T
+                    at = dot.argmax(1)
+                    cells[rows] = at
+                    far[rows] = np.sqrt(((x - centres[key][at]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in vectors], pa.int32()), pa.array(cells), pa.array(far)], names=[*batch.schema.names, "dims", "cell", "far"])
+
+    placed = reps.select("label", "v", "rep", "copies").mapInArrow(cell, f"label {label_type}, v array<double>, rep long, copies long, dims int, cell int, far double")
+    placed = scratch.table(placed, "placed")
+    about = placed.groupBy("label", "dims", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("far").alias("radius"))
+    dealt = placed.join(about.drop("radius"), ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("v", "rep"), F.col("blocks")).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c).slice(0, 1) for c in ("label", "dims", "cell", "block")}
         arrays = table.column("v").to_pylist()
-        return pa.table({
-            "label": table.column("label").slice(0, 1), "block": table.column("block").slice(0, 1), "blocks": table.column("blocks").slice(0, 1),
-            "rep": [table.column("rep").to_pylist()], "copies": [table.column("copies").to_pylist()],
-            "dims": [[len(a) for a in arrays]], "v": [np.concatenate([np.array(a, "<f8") for a in arrays]).tobytes()],
-        })
+        return pa.table({**one, "rep": [table.column("rep").to_pylist()], "copies": [table.column("copies").to_pylist()], "v": [unit([np.array(a, "<f8") for a in arrays]).tobytes()]})
 
-    label_type = v.schema["label"].dataType.simpleString()
-    packed = dealt.groupBy("label", "block", "blocks").applyInArrow(pack, f"label {label_type}, block int, blocks int, rep array<long>, copies array<long>, dims array<long>, v binary")
+    packed = dealt.groupBy("label", "dims", "cell", "block").applyInArrow(pack, f"label {label_type}, dims int, cell int, block int, rep array<long>, copies array<long>, v binary")
     packed = scratch.table(packed, "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sides = packed.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    reach = float(np.sqrt(2 - 2 * threshold))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Pairs of blocks of one label whose cells may hold a link: PIVOTS cells at most, and their blocks."""
+        label, dims = table.column("label")[0].as_py(), table.column("dims")[0].as_py()
+        cells, blocks, radius = (table.column(c).to_numpy() for c in ("cell", "blocks", "radius"))
+        c = centres.get((label, dims))
+        out = []
+        for i in range(len(cells)):
+            for j in range(len(cells)):
+                if cells[i] > cells[j] or (c is not None and i != j and np.sqrt(((c[cells[i]] - c[cells[j]]) ** 2).sum()) > radius[i] + radius[j] + reach + SLACK):
+                    continue
+                out += [(cells[i], a, cells[j], b) for a in range(blocks[i]) for b in range(blocks[j]) if i != j or a <= b]
+        cols = np.array(out, np.int32).reshape(-1, 4).T
+        return pa.table({"label": pa.array([label] * len(out), table.schema.field("label").type), "dims": pa.array([dims] * len(out), pa.int32()), **{n: x for n, x in zip(("ci", "bi", "cj", "bj"), cols)}, "pair": np.arange(len(out), dtype=np.int64)})
+
+    pairs = scratch.table(about.groupBy("label", "dims").applyInArrow(meet, f"label {label_type}, dims int, ci int, bi int, cj int, bj int, pair long"), "pairs")
+    ends = [pairs.select("label", "dims", "pair", F.col(f"c{e}").alias("cell"), F.col(f"b{e}").alias("block")) for e in "ij"]
+    sides = packed.join(ends[0].union(ends[1]).distinct(), ["label", "dims", "cell", "block"])
 
     def unpack(table: pa.Table, k: int):
-        dims = np.array(table.column("dims")[k].as_py())
-        flat = np.frombuffer(table.column("v")[k].as_py(), "<f8")
-        return np.array(table.column("rep")[k].as_py()), np.array(table.column("copies")[k].as_py()), np.split(flat, np.cumsum(dims)[:-1]), dims
+        rep = np.array(table.column("rep")[k].as_py())
+        return rep, np.array(table.column("copies")[k].as_py()), CoverTree(np.frombuffer(table.column("v")[k].as_py(), "<f8").reshape(len(rep), -1))
 
     def compare(table: pa.Table) -> pa.Table:
         got = [unpack(table, k) for k in range(table.num_rows)]
-        out = {"id": [], "links": [], "root": []}
-        a, b = got[0], got[-1]
-        for d in np.intersect1d(a[3], b[3]):
-            (ra, ca, x), (rb, cb, y) = ((s[0][s[3] == d], s[1][s[3] == d], np.array([w for w, m in zip(s[2], s[3]) if m == d])) for s in (a, b))
-            x, y = (w / np.abs(w).max(1)[:, None] for w in (x, y))
-            x, y = (w / np.sqrt((w * w).sum(1))[:, None] for w in (x, y))
-            tx = cover_tree(x)
-            ty = tx if len(got) == 1 else cover_tree(y)
-            p, q = close_points(x, y, tx, ty, reach)
-            if len(got) == 1:
-                p, q = p[p < q], q[p < q]
-            keep = np.concatenate([np.einsum("ij,ij->i", x[p[s : s + 65536]], y[q[s : s + 65536]]) >= threshold for s in range(0, len(p), 65536)] or [np.zeros(0, bool)])
-            p, q = p[keep], q[keep]
-            if len(got) == 1:
-                ids, links = ra, np.bincount(p, cb[q], len(ra)) + np.bincount(q, ca[p], len(ra))
-                root = _forest(len(ra), p, q)
-            else:
-                ids = np.concatenate([ra, rb])
-                links = np.concatenate([np.bincount(p, cb[q], len(ra)), np.bincount(q, ca[p], len(rb))])
-                root = _forest(len(ids), p, q + len(ra))
-            hit = links > 0
-            out["id"] += ids[hit].tolist()
-            out["links"] += links[hit].astype(np.int64).tolist()
-            out["root"] += ids[root][hit].tolist()
-        return pa.table({k: pa.array(w, pa.int64()) for k, w in out.items()})
-
-    found = scratch.table(sides.groupBy("label", "i", "j").applyInArrow(compare, "id long, links long, root long"), "found")
+        (ra, ca, tx), (rb, cb, ty) = got[0], got[-1]
+        ra, ca, rb, cb = ra[tx.order], ca[tx.order], rb[ty.order], cb[ty.order]
+        once = len(got) == 1
+        ids = ra if once else np.concatenate([ra, rb])
+        links, shift, p, q = np.zeros(len(ids), np.int64), 0 if once else len(ra), [], []
+        for rows, cols, hit in close_pairs(tx, ty, reach, threshold):
+            i, j = np.nonzero(hit)
+            i, j = i + rows.start, j + cols.start
+            if once and rows == cols:
+                i, j = i[i < j], j[i < j]
+            links[: len(ra)] += np.bincount(i, cb[j], len(ra)).astype(np.int64)
+            links[shift : shift + len(rb)] += np.bincount(j, ca[i], len(rb)).astype(np.int64)
+            p.append(i)
+            q.append(j + shift)
+        root = _forest(len(ids), *(np.concatenate(w) if w else np.zeros(0, np.int64) for w in (p, q)))
+        hit = links > 0
+        return pa.table({"id": ids[hit], "links": links[hit], "root": ids[root][hit]})
+
+    found = scratch.table(sides.groupBy("label", "dims", "pair").applyInArrow(compare, "id long, links long, root long"), "found")
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    classes = scratch.table(classes, "classes")
+    scratch.keep(reps, found, classes)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_rep = reps.join(links, reps.rep == links.id, "left").drop("id").join(classes, F.col("rep") == classes.id, "left")
     per_rep = per_rep.select(F.xxhash64("label", "v").alias("h"), F.col("label").alias("rl"), F.col("v").alias("rv"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > SALT, SALT - 1).otherwise(0))).alias("salt"), (F.col("copies") > SALT).alias("hot"))
