@@ -45,10 +45,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = self.path(f"{self._n:03d}_{name}")
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         # shuffles of tables written before are unreachable by now; a collection lets their files go
         gc.collect()

@@ -33,18 +33,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int, id_
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
-        encode, step = encoder(tokenizer, "<u4").encode, 4 * seq_len
+        own, step = encoder(tokenizer, "<u4"), 4 * seq_len
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids, rows = batch.column(0).to_pylist(), []
             for a, b in in_batches(texts, 256, 1 << 20):
-                for doc, raw in zip(ids[a:b], encode(texts[a:b])):
+                for doc, raw in zip(ids[a:b], own.encode(texts[a:b])):
                     raw += end
                     for at in range(0, len(raw), step):
                         cut = raw[at : at + step]
                         rows.append((doc, at // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4) + (cut,) * with_ids)
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, c in enumerate(columns)], names=names)
+        own.memo.clear()
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
     return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)

@@ -33,7 +33,7 @@ from .tokens import encoder, in_batches
 
 MAGIC, HEAD = b"FLH1", "<4sIIIQ"
 #: Longest code, tokens between bit-offset checkpoints, tokens of a block at least (the last of a batch has fewer).
-MAX_BITS, STRIDE, BLOCK = 16, 128, 1 << 20
+MAX_BITS, STRIDE, BLOCK = 16, 128, 1 << 19
 
 
 def huffman_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -131,9 +131,10 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", n_parts: int = 0) -> DataFrame:
-    """(doc_id, part, before, n_tokens, ids): whole texts in ascending id order, range-dealt over parts.
+    """(doc_id, part, before, n_tokens, ids, counts): whole texts in ascending id order, range-dealt over parts.
 
-    ``before``: tokens of the part's earlier documents; ``ids``: little-endian, uint16 if the vocabulary allows.
+    ``before``: tokens of the part's earlier documents; ``ids``: little-endian, uint16 if the vocabulary allows;
+    ``counts``: at the first row of each batch, the ids that occur in it, and how often (uint32 each); else null.
     """
     dtype = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     end = np.array([end_id], dtype).tobytes()
@@ -141,25 +142,29 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, before = encoder(tokenizer, dtype).encode, TaskContext.get().partitionId(), 0
+        own, part, before = encoder(tokenizer, dtype), TaskContext.get().partitionId(), 0
         width = np.dtype(dtype).itemsize
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = []
             for a, b in in_batches(texts, 256, 1 << 20):
-                ids += [x + end for x in encode(texts[a:b])]
+                ids += [x + end for x in own.encode(texts[a:b])]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             ends = before + np.cumsum(n)
+            seen = np.bincount(np.frombuffer(b"".join(ids), dtype))
+            used = np.flatnonzero(seen)
+            counts = [np.concatenate([used, seen[used]]).astype("<u4").tobytes()] + [None] * (len(ids) - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())],
-                names=["doc_id", "part", "before", "n_tokens", "ids"],
+                [batch.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary()), pa.array(counts[: len(ids)], pa.binary())],
+                names=["doc_id", "part", "before", "n_tokens", "ids", "counts"],
             )
             before = int(ends[-1]) if len(ids) else before
+        own.memo.clear()
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     rows = rows.repartitionByRange(n_parts or parts_for(docs.sparkSession, 0), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary, counts binary")
 
 
 def _vocabulary(tokenizer: str) -> int:
@@ -168,20 +173,21 @@ def _vocabulary(tokenizer: str) -> int:
     return Tokenizer.from_file(tokenizer).get_vocab_size()
 
 
-def global_counts(encoded: DataFrame, dtype: str) -> np.ndarray:
+def global_counts(encoded: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents; the driver gets one row for each id of the vocabulary at most."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype))
-            if len(got) > len(total):
-                total, got = got, total
-            total[: len(got)] += got
+            for blob in batch.column(0).to_pylist():
+                used, n = np.frombuffer(blob, "<u4").reshape(2, -1).astype(np.int64)
+                if len(used) and used[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(used[-1]) + 1 - len(total), np.int64))
+                total[used] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -191,7 +197,7 @@ def global_counts(encoded: DataFrame, dtype: str) -> np.ndarray:
 def write_dataset(encoded: DataFrame, dtype: str, path: str, block: int = BLOCK) -> None:
     """Writes the file format to the folder ``path`` through Spark, so that any store will do."""
     spark = encoded.sparkSession
-    lengths = huffman_lengths(global_counts(encoded, dtype))
+    lengths = huffman_lengths(global_counts(encoded))
     codes = canonical_codes(lengths)
     totals = sorted(encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     starts = dict(zip((r.part for r in totals), np.cumsum([0] + [r.n for r in totals]).tolist()))

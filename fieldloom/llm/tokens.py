@@ -25,7 +25,7 @@ BYTE_LEVEL = re.compile(
     f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Memo entries; beyond that the memo starts anew, so that memory stays bounded.
-MEMO = 600_000
+MEMO = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -35,6 +35,22 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids of pre-tokens as bytes, made by the library's model where they are missing; starts anew when full."""
+
+    def __init__(self, tokenize, kind: str):
+        self.tokenize, self.kind, self.alphabet = tokenize, kind, byte_alphabet()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        raw = array(self.kind, ids).tobytes()
+        if len(self) >= MEMO:
+            self.clear()
+        if len(word) <= 256:
+            self[word] = raw
+        return raw
+
+
 class ByteLevelEncoder:
     """Ids of whole texts as little-endian bytes of ``dtype``."""
 
@@ -46,40 +62,30 @@ class ByteLevelEncoder:
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.dtype, self.kind, self.memo, self.alphabet = dtype, {"<u2": "H", "<u4": "I"}[dtype], {}, byte_alphabet()
+        self.dtype, self.memo = dtype, _Memo(self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[dtype])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The library's model on whole pre-tokens, spelled in the byte alphabet."""
-        tokenize, alphabet, kind = self.tokenizer.model.tokenize, self.alphabet, self.kind
-        spelled = [w.encode().decode("latin-1").translate(alphabet) for w in words]
-        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in spelled]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Encodes a small batch; the order is kept."""
-        memo = self.memo
-        plain = [None if not t.isascii() and FAR.search(t) or self.special and self.special.search(t) else BYTE_LEVEL.findall(t) for t in texts]
-        new = list({w for p in plain if p for w in p if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for p in plain if p for w in p})
-        memo.update(zip(new, self._words(new)))
-        far = [t for t, p in zip(texts, plain) if p is None]
-        whole = iter(self._library(far) if far else [])
-        get = memo.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in plain]
+        get, split = self.memo.__getitem__, BYTE_LEVEL.findall
+        whole = [not t.isascii() and FAR.search(t) or self.special and self.special.search(t) for t in texts]
+        far = [t for t, w in zip(texts, whole) if w]
+        got = iter(self._library(far) if far else [])
+        return [next(got) if w else b"".join(map(get, split(t))) for t, w in zip(texts, whole)]
 
 
 _encoders: dict[tuple[str, str], ByteLevelEncoder] = {}
 
 
 def encoder(path: str, dtype: str = "<u4") -> ByteLevelEncoder:
-    """The encoder of this worker process, with what it remembers from its earlier tasks."""
+    """The encoder of this worker process, its memo empty: what a task remembers goes with it."""
     if (path, dtype) not in _encoders:
         _encoders[path, dtype] = ByteLevelEncoder(path, dtype)
-    return _encoders[path, dtype]
+    got = _encoders[path, dtype]
+    got.memo.clear()
+    return got
 
 
 def in_batches(values: list, step: int = 64, most: int = 1 << 18):
