@@ -31,6 +31,8 @@ BLOCK = 2048
 SALT = 64
 #: Centres of the shared level in all, vectors of one leaf, and slack for rounding of distances.
 PIVOTS, LEAF, SLACK = 1024, 32, 1e-7
+#: Vectors that a node's children have on average at least; else the node is a leaf.
+LEAST = 4
 
 
 class CoverTree:
@@ -57,6 +59,8 @@ class CoverTree:
             near[0] = True
             parts.append(rest[near])
             rest = rest[~near]
+            if len(parts) * LEAST > len(mine):
+                return number  # next to no vectors are near each other: comparing them takes less than more nodes
         self.order[a:b] = np.concatenate(parts)
         for part in parts:
             node[4].append(self._grow(x, a, a + len(part), radius / 2))
