@@ -81,3 +81,23 @@ def _sql_chars(chars: str) -> str:
 
 
 QUALITY_RULES = _rules()
+
+
+#: Rests of the 256 bytes in crc32 (reflected polynomial 0xEDB88320), and crc32 of a text's UTF-8 bytes; {0} is the text.
+CRC_RESTS = "crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) tab)"
+CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({0}) + 1), lambda k: ('0x' || substr(hex(encode({0})), (2 * k - 1)::int, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+#: Gains of hashed words, Gumbel numbers from ids, and the ranks of the tenth with the highest scores.
+IMPORTANCE = f"""with {CRC_RESTS},
+d as (select row_number() over () r, doc_id::bigint doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+q as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+dw as (select r, unnest(w) w from d), qw as (select unnest(w) w from q),
+word as (select w, {CRC.format('w')} % 10000 b from (select distinct w from (select w from dw union all select w from qw)), crc),
+s as (select b, count(*) s from dw join word using (w) group by 1),
+t as (select b, count(*) t from qw join word using (w) group by 1),
+n as (select (select count(*) from dw)::double sn, (select count(*) from qw)::double tn),
+gain as (select b, floor(1000 * ln((coalesce(t, 0) + 1) * (sn + 10000) / ((s + 1) * (tn + 10000)))) g from s left join t using (b), n),
+weight as (select r, sum(g)::bigint weight from dw join word using (w) join gain using (b) group by 1),
+scored as (select r, doc_id, len(w)::bigint n_features, coalesce(weight, 0)::bigint weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint score from d left join weight using (r)),
+placed as (select r, row_number() over (order by score desc, doc_id nulls last) k, count(*) over () n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when k <= 10 * n // 100 then k end::bigint as rank from scored left join placed using (r)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, lm, minhash, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
+from . import bpe, embedding_dedup, importance, lm, minhash, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
 from .common import documents
 
 try:  # the vocabularies' folder is a parameter of the operators; this is the default of the queries
@@ -58,6 +58,10 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, seed=2024)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -69,9 +73,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm": op9_lm,
     "op10_token_output": op10_token_output,
+    "op12_importance": op12_importance,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash": oracles.NEAR_DUPLICATES,
     "op7_embedding_dedup": oracles.EMBEDDINGS,
     "op8_quality_rules": oracles.QUALITY_RULES,
+    "op12_importance": oracles.IMPORTANCE,
 }
