@@ -101,3 +101,28 @@ weight as (select r, sum(g)::bigint weight from dw join word using (w) join gain
 scored as (select r, doc_id, len(w)::bigint n_features, coalesce(weight, 0)::bigint weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint score from d left join weight using (r)),
 placed as (select r, row_number() over (order by score desc, doc_id nulls last) k, count(*) over () n from scored where n_features >= 20)
 select doc_id, n_features, weight, score, case when k <= 10 * n // 100 then k end::bigint as rank from scored left join placed using (r)"""
+
+#: Windows of 35 words that start twice or more, and the words that none of them covers.
+SUBSTRINGS = f"""with d as (select row_number() over () r, doc_id::bigint doc_id, {_words("coalesce(text, '')")} w from documents),
+g as (select r, k, array_to_string(w[k:k + 34], ' ') g from (select r, w, unnest(range(1, len(w) - 33)) k from d where len(w) >= 35)),
+twice as (select r, k from (select r, k, count(*) over (partition by g) n from g) where n > 1),
+gone as (select distinct r, k + unnest(range(35)) p from twice),
+kept as (select r, array_to_string(list(w order by p), ' ') t, count(*) n from (select r, unnest(w) w, unnest(range(1, len(w) + 1)) p from d) anti join gone using (r, p) group by 1)
+select doc_id, len(w)::bigint n_words, len(w) - coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (r)"""
+
+#: Every distinct beginning of the rebuilt conversations; sums over its subtree by all pairs of node and ancestor.
+PREFIX_TRIE = f"""with {CRC_RESTS},
+t as (select conv_id::bigint c, coalesce(role, '') role, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) p from conversations where conv_id is not null),
+conv as (select c, c - c % 100 b, {CRC.format('c::varchar')} % 6 h from (select distinct c from t), crc),
+head as (select conv.c, p, role, x from conv join t on t.c = conv.b and p <= h),
+nb as (select c, count(*) k from head group by 1),
+r as (select * from head union all select t.c, p - h + coalesce(k, 0), role, x from t join conv using (c) left join nb using (c) where p > h),
+path as (select c, p d, length(x) len, md5(string_agg(length(role) || ':' || role || length(x) || ':' || x, '') over (partition by c order by p)) k from r union all select c, 0, 0, '' from conv),
+node as (select d, k, min(c) c, count(*) n, any_value(len) len from path group by 1, 2),
+up as (select node.d, node.k, a.d ad, a.k ak from node join path a on a.c = node.c and a.d <= node.d),
+parent as (select up.d, up.k, up.ak, node.c from up join node on node.d = up.ad and node.k = up.ak where up.ad = up.d - 1),
+kids as (select d - 1 d, ak k, count(*) n from parent group by 1, 2),
+sub as (select up.ad d, up.ak k, sum((node.n - 1) * node.len)::bigint saved, count(*) filter (where kids.n is null) leaves from up join node using (d, k) left join kids using (d, k) group by 1, 2),
+ended as (select d, k, string_agg(c::varchar, ',' order by c) ids from (select c, max(d) d from path group by 1) join path using (c, d) group by 1, 2)
+select node.c conv_id, node.d depth, parent.c parent_conv_id, node.n n_convs, coalesce(kids.n, 0) n_children, leaves n_leaves, saved saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from node join sub using (d, k) left join kids using (d, k) left join parent using (d, k) left join ended using (d, k)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, importance, lm, minhash, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_output
+from . import bpe, embedding_dedup, importance, lm, minhash, oracles, packing, prefix_trie, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_output
 from .common import documents
 
 try:  # the vocabularies' folder is a parameter of the operators; this is the default of the queries
@@ -62,6 +62,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, seed=2024)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir), 35).drop("kept")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -73,11 +81,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm": op9_lm,
     "op10_token_output": op10_token_output,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_importance": op12_importance,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash": oracles.NEAR_DUPLICATES,
     "op7_embedding_dedup": oracles.EMBEDDINGS,
     "op8_quality_rules": oracles.QUALITY_RULES,
+    "op11_substring_dedup": oracles.SUBSTRINGS,
     "op12_importance": oracles.IMPORTANCE,
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
 }
