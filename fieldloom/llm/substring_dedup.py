@@ -6,7 +6,7 @@
    several are dealt over shards by gram, so that whatever a window could equal is in its shard.
 3. A shard's kinds are one sequence of words. Its FM-index is the Burrows-Wheeler transform in a Huffman-shaped wavelet
    tree of packed bits with sampled ranks, so that a word takes about its entropy. The shard's runs are streamed
-   against it: backward search from every window's last word, all windows side by side, gives matching statistics
+   against it: backward search from every window's last words, all windows side by side, gives matching statistics
    (how many words, counted back from there and at most ``length``, occur twice or more). Windows that reach ``length`` are
    reported as intervals.
 4. The intervals found go back to all runs, and each text is cut once.
@@ -37,38 +37,61 @@ from .common import Scratch, mix64
 GRAM = 8
 #: Kinds of one gram that a shard takes, and kinds of all grams that one indexing task takes on average.
 MANY, SHARD_KINDS = 128, 4096
-#: Words whose hashes a worker remembers.
-MEMO = 300_000
+#: Words whose intervals a search begins with, a power of two.
+SEED = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes: dict[bytes, int] = {}
+#: Weights of a byte by its place in a word; windows whose anchors are sought at once.
+PLACES, WINDOWS = 1024, 1 << 23
+WEIGHTS = mix64(np.arange(1, PLACES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+class Words:
+    """A text's words joined by one space, where each begins and ends, and 64-bit hashes, which only decide what meets what."""
 
-    out = list(map(_hashes.get, words))
-    if None in out:
-        if len(_hashes) > MEMO:
-            _hashes.clear()
-        for k, h in enumerate(out):
-            if h is None:
-                out[k] = h = xxhash.xxh3_64_intdigest(words[k])
-                if len(words[k]) <= 64 and len(_hashes) <= 2 * MEMO:
-                    _hashes[words[k]] = h
-    return np.array(out, np.uint64)
+    def __init__(self, raw: bytes):
+        self.text = b" ".join(raw.split())
+        data = np.frombuffer(self.text, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        self.begin, self.end = np.append(0, gaps + 1), np.append(gaps, len(data))
+        self.n = len(self.begin) if len(data) else 0
+
+    def hashes(self) -> np.ndarray:
+        out = []
+        for at in range(0, self.n, 1 << 16):
+            begin, end = self.begin[at : at + (1 << 16)], self.end[at : at + (1 << 16)]
+            data = np.frombuffer(self.text, np.uint8, int(end[-1] - begin[0]), int(begin[0])).astype(np.uint64)
+            place = np.arange(len(data)) - np.repeat(begin - begin[0], np.diff(np.append(begin, end[-1] + 1)))[: len(data)]
+            data = (data + np.uint64(1)) * WEIGHTS[place & (PLACES - 1)]
+            data[(end - begin[0])[:-1]] = 0
+            out.append(np.add.reduceat(data, begin - begin[0]))
+        return mix64(np.concatenate(out))
+
+    def slice(self, first: int, past: int) -> bytes:
+        return self.text[self.begin[first] : self.end[past - 1]]
 
 
 def runs(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor place, first window, last window, gram hash) of each run of windows with one anchor."""
-    gram = min(GRAM, length)
-    n = len(hashes) - gram + 1
-    h = np.full(n, gram, np.uint64)
-    for k in range(gram):
-        h = mix64(h * BASE + hashes[k : k + n])
-    width = length - gram + 1
-    anchor = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(n - width + 1)
-    first = np.flatnonzero(np.append(True, np.diff(anchor) != 0))
+    h, w = hashes, 1
+    while w < GRAM and 2 * w <= length:  # grams by doubling
+        h = h[:-w] * BASE + h[w:] + np.uint64(w)
+        w *= 2
+    h = mix64(h)
+    width = length - w + 1
+    anchors = []
+    for at in range(0, len(h) - width + 1, WINDOWS):
+        some = h[at : at + WINDOWS + width - 1]
+        # least hash, then least place, by minima over spans that double
+        low = (some & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(some), dtype=np.uint64)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
+            low = np.minimum(low[:-step], low[step:])
+            span += step
+        anchors.append((low & np.uint64(0xFFFFFF)).astype(np.int64) + at)
+    anchor = np.concatenate(anchors)
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     last = np.append(first[1:], len(anchor)) - 1
     return anchor[first], first, last, h[anchor[first]]
 
@@ -158,43 +181,57 @@ class WaveletTree:
         return at
 
 
-def suffix_order(sequence: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first ``depth`` symbols at least, ties by place, which is what searches of that length need."""
+def suffix_order(sequence: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes by their first ``depth`` symbols at least, ties by place, which is what searches of that length need; and for
+    each place the interval of the suffixes that agree with its own in ``seed`` symbols, a power of two."""
     n, k = len(sequence), 1
     rank = np.unique(sequence, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
-    while k < depth:
-        after = np.full(n, -1, np.int64)
-        after[:-k or None] = rank[k:] if k < n else after[:0]
-        key = rank * (n + 1) + after + 1
+    low = high = None
+    while True:
+        if low is None and (k >= seed or rank[order[-1]] == n - 1):
+            begin = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
+            low, high = begin[rank], np.append(begin[1:], n)[rank]
+        if k >= depth or rank[order[-1]] == n - 1:
+            return order, low, high
+        after = np.zeros(n, np.int64)
+        after[:-k] = rank[k:][: n - k] + 1
+        key = rank * (n + 1) + after
         order = np.argsort(key, kind="stable")
         fresh = np.append(True, np.diff(key[order]) != 0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh) - 1
-        if rank[order[-1]] == n - 1:
-            break
         k *= 2
-    return order
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols from 1; 0 parts its pieces and is part of no query."""
+    """Backward search over a sequence of symbols from 1; 0 parts its pieces and is part of no query. The intervals of the
+    sequence's own words of SEED symbols are known, so that a search begins with them."""
 
-    def __init__(self, sequence: np.ndarray, symbols: int, depth: int):
-        order = suffix_order(sequence, depth)
+    def __init__(self, sequence: np.ndarray, symbols: int, depth: int, seed: int = 0):
+        self.seed = seed
+        order, self.low, self.high = suffix_order(sequence, depth, max(1, seed))
         self.bwt = WaveletTree(sequence[order - 1], symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
         self.n = len(sequence)
 
     def matching(self, query: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-        """For each of ``ends``: how many symbols of ``query`` before it, at most ``length``, occur twice or more."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        """For each of ``ends``: how many symbols of ``query`` before it, at most ``length``, occur twice or more. With a seed,
+        ``query`` is the sequence itself, and fewer symbols than the seed count as none."""
         got, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
-        for k in range(length):
+        if self.seed:
+            low, high = self.low[ends - self.seed], self.high[ends - self.seed]
+            live = np.flatnonzero(high - low > 1)
+            got[live] = self.seed
+        else:
+            low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        low, high = low[live], high[live]
+        for k in range(self.seed, length):
             symbol = query[ends[live] - 1 - k]
-            low[live] = self.first[symbol] + self.bwt.rank(symbol, low[live])
-            high[live] = self.first[symbol] + self.bwt.rank(symbol, high[live])
-            live = live[high[live] - low[live] > 1]
+            both = self.bwt.rank(np.tile(symbol, 2), np.concatenate([low, high])) + np.tile(self.first[symbol], 2)
+            low, high = both[: len(live)], both[len(live) :]
+            on = high - low > 1
+            live, low, high = live[on], low[on], high[on]
             got[live] = k + 1
         return got
 
@@ -209,7 +246,7 @@ def _index(length: int):
         sequence = np.concatenate([*coded, [0]])
         begin = np.cumsum([0] + [len(c) for c in coded])[:-1] + 1
         l0, l1, once = (table.column(c).to_numpy() for c in ("l0", "l1", "once"))
-        index = FMIndex(sequence, len(known) + 1, length)
+        index = FMIndex(sequence, len(known) + 1, length, SEED if SEED <= length else 0)
         rows = np.flatnonzero(once)
         many = (l1 - l0 + 1)[rows]
         row = np.repeat(rows, many)
@@ -236,24 +273,26 @@ def removed_words(docs: DataFrame, length: int = 35, id_col: str = "doc_id", tex
     def find(batches):
         for batch in batches:
             for raw, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = raw.split()
-                if len(words) < length:
+                words = Words(raw)
+                if words.n < length:
                     continue
-                p, s0, s1, g = runs(word_hashes(words), length)
-                spans = [hashlib.blake2b(b" ".join(words[a : b + length]), digest_size=16).digest() for a, b in zip(s0.tolist(), s1.tolist())]
+                p, s0, s1, g = runs(words.hashes(), length)
+                spans = [hashlib.blake2b(words.slice(a, b + length), digest_size=16).digest() for a, b in zip(s0.tolist(), s1.tolist())]
                 columns = [pa.array([h] * len(p), pa.binary()), pa.array(p.astype(np.int32)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(spans, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "p", "s0", "s1", "gram", "span"])
 
     # a word and the space after it are two bytes, so shorter texts have no window
     able = keyed.where(F.octet_length("data") >= 2 * length - 1)
     found = scratch.table(able.select("data", "h").mapInArrow(find, "h binary, p int, s0 int, s1 int, gram long, span binary"), "runs")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written before it is joined, so that a gram with very many runs can be split in the join
+    again = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "again")
     repeated = scratch.table(found.join(again, "gram"), "repeated")
     scratch.drop(found)
     # a run's windows by offset l = p - s; runs of one content have one range of offsets
     kinds = repeated.groupBy("gram", "span", (F.col("p") - F.col("s1")).alias("l0"), (F.col("p") - F.col("s0")).alias("l1")).agg(F.count("*").alias("n"), F.min(F.struct("h", "p")).alias("at"))
     kinds = scratch.table(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", (F.col("k") > MANY).alias("many"))
+    several = scratch.table(several, "several")
     sample = scratch.table(kinds.join(several, "gram").select(F.col("at.h").alias("h"), F.col("at.p").alias("p"), "gram", "span", "l0", "l1", (F.col("n") == 1).alias("once"), "many"), "samples")
     wanted = sample.groupBy("h").agg(F.collect_list(F.struct("p", "gram", "span", "l0", "l1", "once", "many")).alias("runs"))
     names = ["gram", "span", "l0", "l1", "once", "many", "data"]
@@ -264,11 +303,11 @@ def removed_words(docs: DataFrame, length: int = 35, id_col: str = "doc_id", tex
         for batch in batches:
             rows = []
             for raw, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = raw.split()
+                words = Words(raw)
                 for r in want:
                     spans = [(r["l0"], r["l1"])] if not r["many"] else [(o, o) for o in range(r["l0"], r["l1"] + 1)]
                     for a, b in spans:
-                        text = b" ".join(words[r["p"] - b : r["p"] - a + length])
+                        text = words.slice(r["p"] - b, r["p"] - a + length)
                         rows.append((r["gram"], r["span"], a, b, r["once"], r["many"], hashlib.blake2b(text, digest_size=16).digest() if r["many"] else text))
             for at in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), kinds_of)], names=names)
