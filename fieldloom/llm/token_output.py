@@ -7,15 +7,16 @@ into a length-limited canonical code (package-merge), ``write_dataset`` writes s
 File format (a folder): ``codebook/`` holds one row (version, n_symbols, code lengths as uint8); ``blocks/``
 holds rows (first_doc, payload). A payload is little-endian::
 
-    b"FLH1" | n_docs u32 | n_tokens u32 | n_points u32 | first_token u64
-    doc_id i64 * n_docs | tokens of each document u32 * n_docs
+    b"FLH2" | n_docs u32 | n_tokens u32 | n_points u32 | first_token u64
+    doc_id i64 * n_docs | one bit a document, 0 where its id is null | tokens of each document u32 * n_docs
     bit offset of each STRIDE-th token u32 * n_points | big-endian bit stream, padded by 8 zero bytes
 
 A block decodes without its neighbours; its checkpoints let a reader enter at any STRIDE-th token, and let
 the table-driven decoder run all strides of a block side by side.
 
-Defined results: a null text counts as empty and has only the end id; repeated rows and tied ids are kept,
-ties in the order of a hash of their text; an empty table gives empty files; further columns are ignored.
+Defined results: a null text counts as empty and has only the end id; a null id comes before all others and stays null;
+repeated rows and tied ids are kept, ties in the order of a hash of their text; an empty table gives empty files;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, parts_for
 from .tokens import encoder, in_batches
 
-MAGIC, HEAD = b"FLH1", "<4sIIIQ"
+MAGIC, HEAD = b"FLH2", "<4sIIIQ"
 #: Longest code, tokens between bit-offset checkpoints, tokens of a block at least (the last of a batch has fewer).
 MAX_BITS, STRIDE, BLOCK = 16, 128, 1 << 19
+#: Text that one task encodes, about.
+PART_BYTES = 64 << 20
 
 
 def huffman_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -88,7 +91,7 @@ def decode_table(lengths: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray,
     return symbols, used
 
 
-def encode_block(doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, first_token: int, codes: np.ndarray, lengths: np.ndarray) -> bytes:
+def encode_block(doc_ids: np.ndarray, known: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, first_token: int, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     at = ends - size
@@ -104,17 +107,18 @@ def encode_block(doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, f
         words[word[over] + 1] |= value[over] << (64 + shift[over]).astype(np.uint64)
     points = at[::STRIDE].astype("<u4")
     head = struct.pack(HEAD, MAGIC, len(doc_ids), len(ids), len(points), first_token)
-    return head + doc_ids.astype("<i8").tobytes() + doc_tokens.astype("<u4").tobytes() + points.tobytes() + words.astype(">u8").tobytes() + bytes(8)
+    return head + doc_ids.astype("<i8").tobytes() + np.packbits(known).tobytes() + doc_tokens.astype("<u4").tobytes() + points.tobytes() + words.astype(">u8").tobytes() + bytes(8)
 
 
-def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """(doc_ids, tokens of each, first token's place among all, ids)."""
+def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """(doc_ids, whether each is known, tokens of each, first token's place among all, ids)."""
     magic, docs, n, n_points, first = struct.unpack_from(HEAD, payload)
     if magic != MAGIC:
         raise ValueError("not a block of this format")
     at = struct.calcsize(HEAD)
     doc_ids = np.frombuffer(payload, "<i8", docs, at)
-    doc_tokens = np.frombuffer(payload, "<u4", docs, at := at + 8 * docs)
+    known = np.unpackbits(np.frombuffer(payload, np.uint8, -(-docs // 8), at := at + 8 * docs), count=docs).astype(bool)
+    doc_tokens = np.frombuffer(payload, "<u4", docs, at := at + -(-docs // 8))
     points = np.frombuffer(payload, "<u4", n_points, at := at + 4 * docs)
     raw = np.frombuffer(payload, np.uint8, offset=at + 4 * n_points).astype(np.uint32)
     window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
@@ -127,7 +131,7 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[
         code = (window[pos >> 3] >> (8 - (pos & 7)).astype(np.uint32)) & 0xFFFF
         out[k] = symbols[code]
         pos += used[code]
-    return doc_ids, doc_tokens, first, out.T.reshape(-1)[:n]
+    return doc_ids, known, doc_tokens, first, out.T.reshape(-1)[:n]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", n_parts: int = 0) -> DataFrame:
@@ -163,7 +167,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    rows = rows.repartitionByRange(n_parts or parts_for(docs.sparkSession, 0), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    if not n_parts:
+        n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+        n_parts = parts_for(docs.sparkSession, n_bytes, PART_BYTES)
+    # rows of one id are split by their texts' hash and a number of their own
+    order = ["doc_id", F.xxhash64("text"), "row"]
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n_parts, *order).sortWithinPartitions(*order).drop("row")
     return rows.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary, counts binary")
 
 
@@ -204,7 +213,8 @@ def write_dataset(encoded: DataFrame, dtype: str, path: str, block: int = BLOCK)
 
     def run(batches):
         for batch in batches:
-            doc_ids, part, before, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc_ids, part, before, n = (batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4))
             ends = np.cumsum(n)
             cut = 0
             while cut < len(doc_ids):
@@ -213,8 +223,8 @@ def write_dataset(encoded: DataFrame, dtype: str, path: str, block: int = BLOCK)
                 to = min(to, cut + int(np.argmax(np.append(part[cut:], -1) != part[cut])))
                 ids = np.frombuffer(b"".join(batch.column(4).slice(cut, to - cut).to_pylist()), dtype)
                 first = starts[int(part[cut])] + int(before[cut])
-                blob = encode_block(doc_ids[cut:to], n[cut:to], ids, first, codes, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array(doc_ids[cut : cut + 1]), pa.array([blob], pa.binary())], names=["first_token", "first_doc", "payload"])
+                blob = encode_block(doc_ids[cut:to], known[cut:to], n[cut:to], ids, first, codes, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array([first]), batch.column(0).slice(cut, 1), pa.array([blob], pa.binary())], names=["first_token", "first_doc", "payload"])
                 cut = to
 
     blocks = encoded.select("doc_id", "part", "before", "n_tokens", "ids").mapInArrow(run, "first_token long, first_doc long, payload binary")
@@ -231,13 +241,13 @@ def read_dataset(spark: SparkSession, path: str, with_ids: bool = False) -> Data
         table = decode_table(lengths)
         for batch in batches:
             for payload in batch.column(0):
-                doc_ids, n, first, ids = decode_block(payload.as_py(), table)
+                doc_ids, known, n, first, ids = decode_block(payload.as_py(), table)
                 n = n.astype(np.int64)
                 ends = np.cumsum(n)
                 starts = ends - n
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                out = [pa.array(doc_ids), pa.array(first + starts), pa.array(n), pa.array(crc, pa.int64())]
+                out = [pa.array(doc_ids, mask=~known), pa.array(first + starts), pa.array(n), pa.array(crc, pa.int64())]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
@@ -246,12 +256,12 @@ def read_dataset(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     return spark.read.parquet(f"{path}/blocks").select("payload").mapInArrow(run, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, n_bytes: float = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, writes and reads back; the files lie in the shared folder."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token_output")
     dtype = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
-    encoded = scratch.table(encode_documents(docs, tokenizer, end_id, id_col, text_col, parts_for(spark, n_bytes)), "encoded")
+    encoded = scratch.table(encode_documents(docs, tokenizer, end_id, id_col, text_col), "encoded")
     write_dataset(encoded, dtype, scratch.path("files"))
     scratch.drop(encoded)
     return read_dataset(spark, scratch.path("files"))
