@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import bpe, lm, minhash, packing, quality_classifier, quality_rules, queries, sharding, suffix_dedup, token_output
+from fieldloom.llm import bpe, embedding_dedup, lm, minhash, packing, quality_classifier, quality_rules, queries, sharding, suffix_dedup, token_output
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -45,6 +45,7 @@ OPERATORS = {
     "minhash": lambda d, _: minhash.near_duplicates(d),
     "rules": lambda d, _: quality_rules.judged(d),
     "lm": lambda d, _: lm.score(d),
+    "tokens": lambda d, _: token_output.token_output(d, BYTES, 0),
 }
 
 
@@ -138,6 +139,8 @@ def test_sites_move_verdicts(spark, labels):
 
 def test_stages_on_odd_rows(spark, odd):
     stages = dict(corpus_pipeline.STAGES)
+    last = stages["packing"](spark, odd, SF).collect()
+    assert len({(r.doc_id, r.start) for r in last}) >= 7 and stages["packing"](spark, odd.limit(0), SF).count() == 0
     for name, stage in list(stages.items())[:4]:
         got = stage(spark, odd, SF)
         assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
@@ -162,3 +165,48 @@ def test_near_copies_and_passages_go(spark):
     left = {x.doc_id: x for x in stages["suffix-array dedup"](spark, near, SF).collect()}
     assert all(left[10 + k].text == clean[k] for k in range(5))
     assert all(passage not in left[15 + k].text and left[15 + k].n_chars == len(left[15 + k].text) < len(sharing[k]) for k in range(3))
+
+
+def test_token_output_keeps_null_and_large_ids(spark):
+    rows = [(None, "one two"), (None, "three"), (2**53 + 1, "four"), (2**53, None), (-3, "five six"), (-3, "five six"), (2**62 + 1, "")]
+    t = Tokenizer.from_file(BYTES)
+    got = token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, 0).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    want = sorted((str(i), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def test_embeddings_of_null_and_shared_ids(spark):
+    """Numbers of links and classes of rows that have no id, or one id with different vectors."""
+    e = np.eye(6)
+    near = lambda k: (e[k] + 0.1 * e[(k + 1) % 6]).tolist()
+    rows = [(5, e[0].tolist(), 1), (5, e[2].tolist(), 1), (6, near(0), 1), (7, near(2), 1), (None, e[4].tolist(), 1), (None, near(4), 1), (None, (-e[0]).tolist(), 1), (8, None, 1), (9, [0.0] * 6, 1), (None, e[0].tolist(), None)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("rep", F.lit(1)).withColumn("cell", F.lit("x")).withColumn("h", F.lit(2.0))
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted([
+        ("5", 1, "5", True), ("5", 1, "5", True), ("6", 1, "5", False), ("7", 1, "5", False), ("None", 1, "None", True), ("None", 1, "None", True),
+        ("None", 0, "None", True), ("8", 0, "8", True), ("9", 0, "9", True), ("None", 0, "None", True)])
+    mixed = embedding_dedup.near_duplicates(spark.createDataFrame([(None, e[0].tolist(), 1), (3, e[0].tolist(), 1), (3, e[0].tolist(), 1)], VECTORS)).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in mixed) == [("3", 2, 3, True), ("3", 2, 3, True), ("None", 2, 3, False)]
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_trees_of_the_table_are_walked(spark):
+    """Trees of the given vectors have several levels, most pairs of nodes are dropped, and what is left is exact."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("label = 1").collect()
+    x = embedding_dedup.unit([np.array(r.embedding, float) for r in rows])
+    tree, seen = embedding_dedup.CoverTree(x), {}
+    found = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for i, j in embedding_dedup.close_pairs(tree, tree, float(np.sqrt(2 - 2 * 0.93)), 0.93, seen) for a, b in zip(i, j)}
+    p, q = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert found == set(zip(p.tolist(), q.tolist())) and tree.depth() > 1 and seen["dropped"] > seen["met"] / 2
+    stored = embedding_dedup.CoverTree.stored(tree.x, *(getattr(tree, c) for c in embedding_dedup.TREE))
+    assert all((a == b).all() for a, b in zip(stored.below, tree.below))
