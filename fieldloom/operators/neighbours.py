@@ -1,23 +1,34 @@
 """Nearest-neighbour joins of targets with sources (observations, or simulated nodes that come earlier).
 
-Targets and sources meet by grid cells: a cell holds about as many sources as are wanted, and a target looks into its own and
-the cells around. Targets whose k-th neighbour lies within the distance that those cells surely cover are done; the
-others go on with cells twice as wide. Sources of a number that one broadcast may hold (SMALL rows) meet all targets.
+Sources are dealt into leaves of a k-d tree whose splits are medians of a bounded sample, so that each leaf has about as many
+sources wherever they lie; a leaf that one place fills is parted by hash. Exact boxes and counts of the leaves, a bounded
+table, are sent to the targets. A target goes to leaves best first: to the nearest box, and, once it has its k sources,
+to just those boxes that reach nearer than its k-th; one that still lacks sources goes to ever more. Leaves that many
+targets visit are copied for chunks of them. Sources of a number that one broadcast may hold (SMALL rows) go to all targets.
+
+Along a path only earlier nodes count, so targets are taken in stretches, each as long as all before: a stretch's tree holds
+what lies before its end, at least half of which every target may use.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rotation import squared_length, transform, transformed
+from ..functions.rotation import transform, transformed
+from . import boxes
 from .staging import stage
 
-#: Sources that are broadcast to all targets; more meet by cells.
-SMALL = 512
+#: Sources that are sent to all targets, after they were counted; more meet by leaves.
+SMALL = 8192
+#: Sources of a leaf, and leaves at most (their boxes are sent to all targets); rows of the sample that the splits are taken from.
+LEAF, LEAVES, SAMPLE = 1024, 4096, 100_000
+#: Visits of one leaf that a task takes; positions of the first stretch of a path, each further one twice as long as all before.
+VISITS, STRETCH = 16_384, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -48,68 +59,144 @@ class Search:
         return space if self.time_at is None else [*space, coordinates[-1] * F.lit(self.time_at)]
 
 
-def _nearest(t: DataFrame, o: DataFrame, k: int, n: int, maxdist: float | None, ordered: bool, sides: list[str]) -> DataFrame:
-    """``t`` (block_id, t0.., [t_ord]) with its k nearest of ``o`` (sides.., s0.., [s_ord]) and d2, rank."""
-    t_at, s_at = [F.col(f"t{i}") for i in range(n)], [F.col(f"s{i}") for i in range(n)]
-    d2 = squared_length([a - b for a, b in zip(t_at, s_at)])
-    rank = F.row_number().over(Window.partitionBy("block_id").orderBy("d2", *sides))
-    ok = F.col("s_ord") < F.col("t_ord") if ordered else F.lit(True)
-    keep = ["block_id", *sides, "d2"]
-    inside = F.lit(True) if maxdist is None else F.col("d2") <= maxdist * maxdist
-    # one more row than are sent out at once tells whether there are more
-    if o.limit(SMALL + 1).count() <= SMALL:
-        met = t.join(F.broadcast(o), ok, "inner").withColumn("d2", d2).select(keep)
-        return met.withColumn("rank", rank).where((F.col("rank") <= k) & inside)
-    limits = [f(f"s{i}").alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max))]
-    box = o.agg(F.count("*").alias("rows"), *limits).first()
-    reach = t.agg(*(f(f"t{i}").alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max)))).first()
-    if reach["lo0"] is None:
-        return t.join(o, ok, "inner").withColumn("d2", d2).select(keep).withColumn("rank", F.lit(1)).limit(0)
-    spans = [box[f"hi{i}"] - box[f"lo{i}"] for i in range(n)]
-    whole = max(max(box[f"hi{i}"], reach[f"hi{i}"]) - min(box[f"lo{i}"], reach[f"lo{i}"]) for i in range(n))
-    used = [s for s in spans if s > 0]
-    volume = 1.0
-    for s in used:
-        volume *= s
-    cell = (volume * k / box["rows"]) ** (1 / len(used)) if used else max(whole, 1.0)
-    around = F.explode(F.array(*(F.array(*(F.lit(s) for s in shift)) for shift in itertools.product((-1, 0, 1), repeat=n))))
-    o, left, parts = stage(o), stage(t), []
+def _found(t: pa.Table, o: pa.Table, n: int, k: int, ordered: bool, sector_dims: int, names: list[str]) -> pa.Table:
+    """The k nearest of ``o`` for each row of ``t``, as far as its bound. ``o`` has to be in the order of its sides."""
+    tx, sx = (np.stack([x.column(f"{side}{i}").to_numpy() for i in range(n)], 1) for x, side in ((t, "t"), (o, "s")))
+    before = (t.column("t_ord").to_numpy(), o.column("s_ord").to_numpy()) if ordered else None
+    rows, cols, d2 = boxes.search(tx, sx, k, t.column("bound").to_numpy(), before)
+    out = {"block_id": t.column("block_id").take(pa.array(rows)), "d2": pa.array(d2)}
+    if sector_dims:
+        out["sector"] = pa.array(sum(((sx[cols, i] < tx[rows, i]).astype(np.int32) << i) for i in range(sector_dims)).astype(np.int32))
+    picked = o.take(pa.array(cols))
+    return pa.table({c: out[c] if c in out else picked.column(c) for c in names})
+
+
+def _nearest(t: DataFrame, o: DataFrame, k: int, n: int, maxdist: float | None, ordered: bool, sides: list[str], carry: list[str], sector_dims: int) -> DataFrame:
+    """``t`` (block_id, t0.., [t_ord]) with its k nearest of ``o`` (sides.., carry.., s0.., [s_ord]): d2, rank[, sector]."""
+    spark = t.sparkSession
+    names = ["block_id", *sides, "d2", *(["sector"] if sector_dims else []), *carry]
+    kinds = {**{f.name: f.dataType.simpleString() for f in o.schema}, "block_id": t.schema["block_id"].dataType.simpleString(), "d2": "double", "sector": "int"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    limit = float("inf") if maxdist is None else float(maxdist) ** 2
+    best = F.row_number().over(Window.partitionBy("block_id").orderBy("d2", *sides))
+    count = o.count()
+    if count <= SMALL:
+        sent = spark.sparkContext.broadcast(o.orderBy(*sides).toArrow())
+
+        def meet(batches):
+            for batch in batches:
+                if batch.num_rows and sent.value.num_rows:
+                    yield from _found(pa.Table.from_batches([batch]), sent.value, n, k, ordered, sector_dims, names).to_batches()
+
+        met = t.withColumn("bound", F.lit(limit)).mapInArrow(meet, schema)
+        return met.withColumn("rank", best)
+    if ordered:
+        last = t.agg(F.max("t_ord")).first()[0]
+        if last is not None and last > STRETCH:
+            parts, low, high = [], None, STRETCH
+            while low is None or low < last:
+                inside = t.where(F.col("t_ord") <= high) if low is None else t.where((F.col("t_ord") > low) & (F.col("t_ord") <= high))
+                parts.append(_by_leaves(inside, stage(o.where(F.col("s_ord") < high)), k, n, limit, ordered, sides, sector_dims, names, schema))
+                low, high = high, high * 2
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
+    return _by_leaves(t, o, k, n, limit, ordered, sides, sector_dims, names, schema)
+
+
+def leaves_of(o: DataFrame, n: int, ordered: bool, sides: list[str]) -> tuple[DataFrame, dict]:
+    """``o`` with ``leaf``, and the leaves' boxes, counts and first places in the path as arrays (two times LEAVES at most)."""
+    spark = o.sparkSession
+    at = [f"s{i}" for i in range(n)]
+    count = o.count()
+    wanted = int(min(LEAVES, max(2, count // LEAF)))
+    sample = o.select(*at).sample(min(1.0, SAMPLE / count), seed=7).limit(2 * SAMPLE).toPandas().to_numpy(float)
+    tree = boxes.splits(sample, wanted)
+
+    def place(batches):
+        for batch in batches:
+            x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in at], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boxes.descend(tree, x))], names=[*batch.schema.names, "leaf"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in o.schema)
+    placed = stage(o.mapInArrow(place, f"{schema}, leaf int"))
+    # leaves that cannot be parted by place, such as one of many sources at one spot, are parted by hash
+    full = [(r.leaf, -(-r.n // (2 * -(-count // wanted)))) for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()]
+    first = np.zeros(len(tree[0]) + 1, int)
+    for leaf, parts in full:
+        first[leaf] = parts
+    first = np.cumsum(first) - first
+    numbers = spark.createDataFrame([(leaf, int(first[leaf]), parts) for leaf, parts in full], "leaf int, __first int, __parts int")
+    part = F.pmod(F.xxhash64(*sides), F.col("__parts"))
+    placed = placed.join(F.broadcast(numbers), "leaf").withColumn("leaf", (F.col("__first") + part).cast("int")).drop("__first", "__parts")
+    limits = [f(c).alias(f"{name}{c}") for c in at for name, f in (("lo", F.min), ("hi", F.max))]
+    found = placed.groupBy("leaf").agg(F.count("*").alias("n"), *limits, (F.min("s_ord") if ordered else F.lit(0)).alias("since")).orderBy("leaf").toPandas()
+    low, high = (found[[f"{name}{c}" for c in at]].to_numpy(float) for name in ("lo", "hi"))
+    return placed, {"leaf": found.leaf.to_numpy(), "low": low, "high": high, "n": found.n.to_numpy(), "since": found.since.to_numpy()}
+
+
+def _by_leaves(t: DataFrame, o: DataFrame, k: int, n: int, limit: float, ordered: bool, sides: list[str], sector_dims: int, names: list[str], schema: str) -> DataFrame:
+    spark = t.sparkSession
+    o, known = leaves_of(o, n, ordered, sides)
+    sent = spark.sparkContext.broadcast(known)
+    order = ["t_ord"] if ordered else []
+    state = ["block_id", *(f"t{i}" for i in range(n)), *order, "bound"]
+    left = t.select(*state[:-1], F.lit(limit).alias("bound"), F.lit(False).alias("full"), F.lit(0).alias("seen"))
+    left_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema if f.name in state)
+    best = F.row_number().over(Window.partitionBy("block_id").orderBy("d2", *sides))
+    found, step = None, 1
+
+    def visits_of(step: int):
+        """Each target once for each leaf that it goes to now."""
+
+        def run(batches):
+            leaf, low, high, since = (sent.value[c] for c in ("leaf", "low", "high", "since"))
+            for batch in batches:
+                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                x = np.stack([column(f"t{i}") for i in range(n)], 1)
+                for at in range(0, len(x), 512):
+                    some = slice(at, at + 512)
+                    bound, full, seen = column("bound")[some], column("full")[some], column("seen")[some]
+                    near = boxes.distances(x[some], low, high)
+                    if ordered:
+                        near[since >= column("t_ord")[some, None]] = np.inf
+                    there = np.argsort(near, 1, kind="stable")
+                    sorted_near = np.take_along_axis(near, there, 1)
+                    place = np.arange(len(leaf))
+                    go = (sorted_near <= bound[:, None]) & np.isfinite(sorted_near) & (place >= seen[:, None]) & (full[:, None] | (place < seen[:, None] + step))
+                    rows, cols = np.nonzero(go)
+                    picked = batch.slice(at, 512).select(state).take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(leaf[there[rows, cols]].astype(np.int32))], names=[*state, "leaf"])
+
+        return run
+
+    def meet(t: pa.Table, o: pa.Table) -> pa.Table:
+        # ties go to the first of the sides
+        return _found(t, o.sort_by([(c, "ascending") for c in sides]), n, k, ordered, sector_dims, names)
+
     while True:
-        last = cell > whole or (maxdist is not None and cell >= maxdist)
-        if cell > whole:
-            met = left.join(o, ok, "inner") if not ordered else left.join(o, ok)
-            sure = F.lit(float("inf"))
-        else:
-            at = lambda c, i: F.floor((c - F.lit(box[f"lo{i}"])) / F.lit(cell)).cast("long")
-            inner = [(c - F.lit(box[f"lo{i}"])) / F.lit(cell) for i, c in enumerate(t_at)]
-            margin = F.least(*(F.least(x - F.floor(x), F.floor(x) + 1 - x) for x in inner), F.lit(0.5))
-            cells = left.withColumn("sure", (margin + 1) * F.lit(cell)).withColumn("__s", around)
-            cells = cells.select("*", *((at(c, i) + F.col("__s")[i]).alias(f"c{i}") for i, c in enumerate(t_at))).drop("__s")
-            near = o.select("*", *(at(c, i).alias(f"c{i}") for i, c in enumerate(s_at)))
-            met = cells.join(near, [f"c{i}" for i in range(n)]).where(ok)
-            sure = F.col("sure") * (1 - 1e-12)
-        ranked = met.select(*keep[:-1], d2.alias("d2"), sure.alias("sure")).withColumn("rank", rank).where(F.col("rank") <= k)
-        if last:
-            parts.append(ranked.drop("sure"))
-            break
-        all_of = Window.partitionBy("block_id")
-        far = F.sqrt(F.max("d2").over(all_of))
-        ranked = stage(ranked.withColumn("done", (F.count("*").over(all_of) == k) & (far <= F.col("sure"))))
-        parts.append(ranked.where("done").drop("sure", "done"))
-        left = stage(left.join(ranked.where("done").select("block_id").distinct(), "block_id", "left_anti"))
-        if left.isEmpty():
+        visits = stage(left.mapInArrow(visits_of(step), f"{left_schema}, leaf int"))
+        loads = visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()  # one row a leaf
+        if not loads:
             break
-        if ordered:  # the targets that are left come early, so only early sources matter to them
-            o = stage(o.where(F.col("s_ord") < F.lit(left.agg(F.max("t_ord")).first()[0])))
-        cell *= 2
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where(inside)
-
-
-def neighbours(targets: DataFrame, sources: DataFrame, dims: list[str], search: Search, exclude_self: bool = False, sides: tuple[str, ...] = ("obs_id",), order: str | None = None) -> DataFrame:
-    """(block_id, sides.., d2, rank[, sector]). ``order``: a column of both sides; only sources before the target count.
+        chunks = F.broadcast(spark.createDataFrame([(r.leaf, -(-r.n // VISITS)) for r in loads], "leaf int, __chunks int"))
+        going = visits.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("block_id"), F.col("__chunks")).cast("int")).drop("__chunks")
+        there = o.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks")
+        met = going.groupBy("leaf", "chunk").cogroup(there.groupBy("leaf", "chunk")).applyInArrow(meet, schema)
+        met = met if found is None else met.unionByName(found.drop("rank"))
+        found = stage(met.withColumn("rank", best).where(F.col("rank") <= k))
+        kth = found.groupBy("block_id").agg(F.count("*").alias("__n"), F.max("d2").alias("__far"))
+        left = left.where(~F.col("full")).join(kth, "block_id", "left")
+        full = F.coalesce(F.col("__n") == k, F.lit(False))
+        left = stage(left.select(*state[:-1], F.when(full, F.col("__far")).otherwise(F.col("bound")).alias("bound"), full.alias("full"), (F.col("seen") + step).alias("seen")))
+        step *= 4
+    return (visits.limit(0).mapInArrow(lambda b: iter(()), f"{schema}, rank int") if found is None else found)
+
+
+def neighbours(targets: DataFrame, sources: DataFrame, dims: list[str], search: Search, exclude_self: bool = False, sides: tuple[str, ...] = ("obs_id",), order: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block_id, sides.., d2, rank[, sector], carry..). ``order``: a column of both sides; only sources before the target count.
+    ``carry``: columns of the sources that come along.
 
     Rows with a null coordinate have no neighbours and are none; ties go to the least of ``sides``. ``exclude_self`` leaves
     out the source whose ``obs_id`` is the target's ``block_id``.
@@ -119,23 +206,21 @@ def neighbours(targets: DataFrame, sources: DataFrame, dims: list[str], search:
     for d in dims:
         there = there & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
     at = search.columns([F.col(d).cast("double") for d in dims])
-    t = targets.where(there).select("block_id", *(c.alias(f"t{i}") for i, c in enumerate(at)), *([F.col(order).alias("t_ord")] if order else []))
-    o = sources.where(there).select(*sides, *(c.alias(f"s{i}") for i, c in enumerate(at)), *([F.col(order).alias("s_ord")] if order else []))
+    along = lambda name: [F.col(order).cast("long").alias(name)] if order else []
+    t = targets.where(there).select("block_id", *(c.alias(f"t{i}") for i, c in enumerate(at)), *along("t_ord"))
+    o = sources.where(there).select(*sides, *carry, *(c.alias(f"s{i}") for i, c in enumerate(at)), *along("s_ord"))
     space = n - (search.time_at is not None)
     k = search.nmax * 4 * 2**space if search.sectors else search.nmax
-    near = _nearest(t, o, k + exclude_self, n, search.maxdist, order is not None, list(sides))
+    near = _nearest(t, o, k + exclude_self, n, search.maxdist, order is not None, list(sides), list(carry), space if search.sectors else 0)
     if exclude_self:
         # of the nearest k + 1 the target itself goes, or else the farthest; sectors count it among their candidates
         near = near.where((F.col("rank") <= k) if search.sectors else F.lit(True)).where(F.col(sides[-1]) != F.col("block_id"))
         again = Window.partitionBy("block_id").orderBy("d2", *sides)
         near = near.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
-    if not search.sectors:
-        return near
-    placed = near.join(t.drop("t_ord") if order else t, "block_id").join(o.drop("s_ord") if order else o, list(sides))
-    sector = sum((F.when(F.col(f"s{i}") < F.col(f"t{i}"), 1 << i).otherwise(0) for i in range(space)), F.lit(0))
-    placed = placed.select("block_id", *sides, "d2", sector.alias("sector"))
-    rank = F.row_number().over(Window.partitionBy("block_id", "sector").orderBy("d2", *sides))
-    return placed.withColumn("rank", rank).where(F.col("rank") <= search.nmax)
+    if search.sectors:
+        rank = F.row_number().over(Window.partitionBy("block_id", "sector").orderBy("d2", *sides))
+        near = near.withColumn("rank", rank).where(F.col("rank") <= search.nmax)
+    return near.select("block_id", *sides, "d2", *(["sector"] if search.sectors else []), "rank", *carry)
 
 
 def knn(targets: DataFrame, obs: DataFrame, k: int, dims: list[str], maxdist: float | None = None, exclude_self: bool = False) -> DataFrame:
