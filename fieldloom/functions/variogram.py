@@ -91,6 +91,17 @@ class Structure:
         return np.sqrt((turned * turned).sum(-1))
 
 
+def grouped(products: list[bool], parts: list):
+    """The sum over groups of the products in each; ``parts``: one value, array or column a structure."""
+    groups: list = []
+    for product, part in zip(products, parts):
+        if product and groups:
+            groups[-1] = groups[-1] * part
+        else:
+            groups.append(part)
+    return sum(groups[1:], groups[0]) if groups else 0.0
+
+
 @dataclass(frozen=True)
 class Variogram:
     """Nested structures: a sum of product groups; the nuggets count at lag 0 only."""
@@ -108,14 +119,7 @@ class Variogram:
         return Variogram((*self.structures, Structure(*args, **kwargs, product=True)))
 
     def _grouped(self, parts: list):
-        """The sum over groups of the products in each; ``parts``: one value, array or column a structure."""
-        groups: list = []
-        for s, part in zip(self.structures, parts):
-            if s.product and groups:
-                groups[-1] = groups[-1] * part
-            else:
-                groups.append(part)
-        return sum(groups[1:], groups[0]) if groups else 0.0
+        return grouped([s.product for s in self.structures], parts)
 
     def check(self, ndim: int) -> None:
         if ndim == 3 and any(model_name(s.model) == "hol" for s in self.structures):
@@ -140,3 +144,35 @@ class Variogram:
     def describe(self) -> str:
         lines = [f"{'x' if s.product else '+'} {s.model} sill {s.sill} nugget {s.nugget} range {s.range}, {s.minor1 or s.range}, {s.minor2 or s.range} angles {s.azimuth}, {s.dip}, {s.plunge}" for s in self.structures]
         return "\n".join([*lines, f"C(0) = {self.at_zero()}"])
+
+
+class StackedVariogram:
+    """Models of equal kinds with parameters of their own, one a system: arrays over systems for each structure."""
+
+    def __init__(self, kinds: list[tuple[str, bool]], sill: np.ndarray, nugget: np.ndarray, matrix: np.ndarray):
+        self.kinds, self.sill, self.nugget, self.matrix = kinds, sill, nugget, matrix
+
+    @classmethod
+    def of(cls, rows: list[list[Structure]], ndim: int) -> StackedVariogram:
+        kinds = [(model_name(s.model), s.product) for s in rows[0]]
+        if ndim == 3 and any(m == "hol" for m, _ in kinds):
+            raise ValueError("the hole effect is not valid in three dimensions")
+        of = lambda f: np.array([[f(s) for s in row] for row in rows], float)
+        return cls(kinds, of(lambda s: s.sill), of(lambda s: s.nugget), of(lambda s: s.matrix(ndim)))
+
+    def take(self, rows: np.ndarray) -> StackedVariogram:
+        return StackedVariogram(self.kinds, self.sill[rows], self.nugget[rows], self.matrix[rows])
+
+    def _grouped(self, parts: list):
+        return grouped([product for _, product in self.kinds], parts)
+
+    def at_zero(self) -> np.ndarray:
+        return self._grouped(list((self.sill + self.nugget).T))
+
+    def covariance(self, lags: np.ndarray) -> np.ndarray:
+        """Of lag vectors (systems, rows, columns, ndim)."""
+        parts = []
+        for k, (model, _) in enumerate(self.kinds):
+            turned = np.einsum("bnmd,bed->bnme", lags, self.matrix[:, k])
+            parts.append(self.sill[:, k, None, None] * rho_values(model, np.sqrt((turned * turned).sum(-1))))
+        return np.where((lags == 0).all(-1), self.at_zero()[:, None, None], self._grouped(parts))

@@ -98,11 +98,11 @@ def assembled(data: DataFrame, targets: DataFrame, k: Kriging, nodes: DataFrame
     dims, near = list(k.dims), None
     for var in range(1, k.nvar + 1):
         mine = data.where(F.col("var_id") == var)
-        found = neighbours(targets, mine, dims, k.search_of(var), k.cross_validation and var == 1, SIDES, order).select("block_id", *SIDES)
+        found = neighbours(targets, mine, dims, k.search_of(var), k.cross_validation and var == 1, SIDES, order, carry=(*dims, "err", "drift")).select("block_id", *SIDES, *dims, "err", "drift")
         if k.cross_validation and var > 1:
             found = found.where(F.col("src_id") != F.col("block_id"))
         near = found if near is None else near.unionByName(found)
-    joined = near.join(data.drop("value", *([order] if order else [])), list(SIDES))
+    joined = near
     if order is not None:
         joined = _without_colocated(joined, dims)
     entry = F.struct("kind", "var_id", "src_id", F.array(*dims).alias("x"), "err", "drift")

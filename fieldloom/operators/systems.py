@@ -1,24 +1,26 @@
 """Kriging systems in Arrow batches: systems of equal shape are stacked and solved together.
 
-Data of a block are observations, simulated nodes, and gradient pairs (a difference between two places). Rows of a
-block with the same neighbours share one factor. Everything is double precision.
+Data of a block are observations, simulated nodes, and gradient pairs (a difference between two places). Rows are dealt
+by ranges of a key of their neighbours, so that blocks with the same neighbours meet and share one factor, and a
+neighbourhood that very many blocks have is still split. A factor is the Cholesky factor of the covariances between data,
+and the Schur complement of the constraints; what has none is eliminated as a whole. Everything is double precision.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variogram import Structure, Variogram
+from ..functions.variogram import StackedVariogram, Structure, model_name
 
 #: Kinds of data by number, and systems that are stacked together at most.
 KINDS = ("obs", "sim", "grad")
 STACK = 1024
-SOLVED = "block_id long, status string, reused boolean, weights array<struct<target_var:int,kind:int,var_id:int,src_id:long,w:double>>, cov array<struct<ivar:int,jvar:int,cov:double>>"
+SOLVED = "block_id long, factor long, status string, reused boolean, weights array<struct<target_var:int,kind:int,var_id:int,src_id:long,w:double>>, cov array<struct<ivar:int,jvar:int,cov:double>>"
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,8 @@ class Model:
                 if not self.varying and (i, j) not in self.vgm:
                     raise ValueError(f"no variogram for variables {i} and {j}")
         for v in self.vgm.values():
-            v.check(self.ndim)
+            if not isinstance(v, StackedVariogram):
+                v.check(self.ndim)
         if self.means and len(self.means) != self.nvar:
             raise ValueError("one mean for each variable")
         low, high = self.bounds
@@ -67,6 +70,12 @@ class Model:
     def between(self, i: int, j: int):
         return self.vgm[min(i, j), max(i, j)]
 
+    def rows(self, which: np.ndarray) -> Model:
+        """The model of some of a stack's systems, where each has its own."""
+        if not any(isinstance(v, StackedVariogram) for v in self.vgm.values()):
+            return self
+        return replace(self, vgm={p: v.take(which) if isinstance(v, StackedVariogram) else v for p, v in self.vgm.items()})
+
     def constraints(self) -> int:
         """Rows of unbiasedness: one a variable, or one for all in the sum-to-one form."""
         if not self.unbiased:
@@ -102,7 +111,7 @@ def matrices(model: Model, kind, var, x, err, drift, scale, nugget) -> np.ndarra
     q = model.ndrift + model.constraints()
     a = np.zeros((b, n + ng + q, n + ng + q))
     a[:, :n, :n] = _pairs(model, var, var, _lags(x, x, scale))
-    zero = np.array([model.between(int(v), int(v)).at_zero() for v in var])
+    zero = np.stack([np.broadcast_to(model.between(int(v), int(v)).at_zero(), b) for v in var], 1)
     at = np.arange(n)
     a[:, at, at] = zero + np.where(kind == 1, 0.0, err) + nugget[:, None]
     if ng:
@@ -145,7 +154,7 @@ def prior(model: Model, nodes: np.ndarray, node_w: np.ndarray) -> np.ndarray:
         for j in range(i, model.nvar + 1):
             v = model.between(i, j)
             if p == 1:
-                c = np.full(b, v.at_zero())
+                c = np.broadcast_to(v.at_zero(), b)
             else:
                 c = (v.covariance(lags) * node_w[:, :, None] * node_w[:, None, :]).sum((1, 2))
             out[:, i - 1, j - 1] = out[:, j - 1, i - 1] = c
@@ -168,20 +177,43 @@ def _solve_one(a: np.ndarray, rhs: np.ndarray, n: int) -> tuple[np.ndarray, str]
     return np.full(rhs.shape, np.nan), "fail"
 
 
+def factored(a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of left sides (b, m, m) whose first n rows are data: the inverse of the Cholesky factor L of their covariances,
+    Y = L^-1 F of the constraints F, and their Schur complement F' K^-1 F. LinAlgError where one has no such factor."""
+    inverse = np.linalg.inv(np.linalg.cholesky(a[:, :n, :n]))
+    y = inverse @ a[:, :n, n:]
+    return inverse, y, y.transpose(0, 2, 1) @ y
+
+
+def by_factors(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int) -> np.ndarray:
+    """Solutions of ``a[which] x = rhs``, each left side factored once: per right side two products with its factor are left."""
+    inverse, y, schur = factored(a, n)
+    v = inverse[which] @ rhs[:, :n]
+    if a.shape[1] == n:
+        return inverse.transpose(0, 2, 1)[which] @ v
+    multipliers = np.linalg.solve(schur[which], y.transpose(0, 2, 1)[which] @ v - rhs[:, n:])
+    return np.concatenate([inverse.transpose(0, 2, 1)[which] @ (v - y[which] @ multipliers), multipliers], 1)
+
+
 def solve_stack(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Solutions of ``a[which] x = rhs``: distinct left sides are factored once when blocks share them."""
+    """Solutions of ``a[which] x = rhs`` and their status. A stack that has no factors is halved until the one that has none is
+    alone; that one is eliminated as it is."""
     status = np.full(len(which), "ok", object)
     try:
-        if len(a) < len(which):
-            x = np.linalg.inv(a)[which] @ rhs
-        else:
-            x = np.linalg.solve(a[which], rhs)
-        left = np.abs(a[which] @ x - rhs).max((1, 2)) if rhs.size else np.zeros(len(which))
-        size = np.abs(rhs).max((1, 2)) if rhs.size else left
-        bad = np.flatnonzero(~np.isfinite(x).all((1, 2)) | (left > 1e-6 * (1 + size)))
+        x = by_factors(a, which, rhs, n)
     except np.linalg.LinAlgError:
-        x, bad = np.empty(rhs.shape), np.arange(len(which))
-    for k in bad:
+        if len(a) > 1:
+            x, half = np.empty(rhs.shape), len(a) // 2
+            for rows, part, first in ((which < half, a[:half], 0), (which >= half, a[half:], half)):
+                x[rows], status[rows] = solve_stack(part, which[rows] - first, rhs[rows], n)
+            return x, status
+        try:
+            x = np.linalg.solve(np.repeat(a, len(which), 0), rhs)
+        except np.linalg.LinAlgError:
+            x = np.full(rhs.shape, np.nan)
+    left = np.abs(a[which] @ x - rhs).max((1, 2)) if rhs.size else np.zeros(len(which))
+    size = np.abs(rhs).max((1, 2)) if rhs.size else left
+    for k in np.flatnonzero(~np.isfinite(x).all((1, 2)) | (left > 1e-6 * (1 + size))):
         x[k], status[k] = _solve_one(a[which[k]], rhs[k], n)
     return x, status
 
@@ -228,10 +260,11 @@ def solver(model: Model):
         nodes, node_w = data["node_x"][node], data["node_w"][node]
         scale, nugget, ids = data["scale"][rows], data["nugget"][rows], data["src"][idx]
         # equal neighbours, scale and nugget: one left side
-        key = np.concatenate([ids, scale.view(np.int64)[:, None], nugget.view(np.int64)[:, None]], 1)
+        factor = data["factor"][rows]
+        key = np.concatenate([ids, scale.view(np.int64)[:, None], nugget.view(np.int64)[:, None], factor[:, None]], 1)
         _, some, which = np.unique(key, axis=0, return_index=True, return_inverse=True)
         which = which.ravel()
-        a = matrices(m, kind, var, x[some], err[some], drift[some], scale[some], nugget[some])
+        a = matrices(m.rows(some), kind, var, x[some], err[some], drift[some], scale[some], nugget[some])
         rhs = right_sides(m, var, x, nodes, node_w, data["tdrift"][rows], scale)
         s, status = solve_stack(a, which, rhs, n + (0 if m.gradients is None else len(m.gradients.var)))
         if not m.neglect_errors and (status == "fail").any():
@@ -252,7 +285,7 @@ def solver(model: Model):
         weights = pa.ListArray.from_arrays(pa.array(np.arange(b + 1, dtype=np.int32) * v * d), pa.StructArray.from_arrays(entries, ["target_var", "kind", "var_id", "src_id", "w"]))
         i, j = np.broadcast_to(target[:, None], (b, v, v)).ravel(), np.broadcast_to(target, (b, v, v)).ravel()
         covs = pa.ListArray.from_arrays(pa.array(np.arange(b + 1, dtype=np.int32) * v * v), pa.StructArray.from_arrays([pa.array(i), pa.array(j), pa.array(cov.ravel())], ["ivar", "jvar", "cov"]))
-        return pa.RecordBatch.from_arrays([pa.array(data["block"][rows].astype(np.int64)), pa.array(status.tolist(), pa.string()), pa.array(again), weights, covs], names=["block_id", "status", "reused", "weights", "cov"])
+        return pa.RecordBatch.from_arrays([pa.array(data["block"][rows].astype(np.int64)), pa.array(factor), pa.array(status.tolist(), pa.string()), pa.array(again), weights, covs], names=["block_id", "factor", "status", "reused", "weights", "cov"])
 
     def run(batches):
         for batch in batches:
@@ -262,7 +295,7 @@ def solver(model: Model):
             near_o, node_o = _offsets(near), _offsets(nodes)
             nv, pv = near.flatten(), nodes.flatten()
             data = {
-                "block": np.asarray(_column(batch, "block_id")), "near_at": near_o[:-1], "near_n": np.diff(near_o), "node_at": node_o[:-1], "node_n": np.diff(node_o),
+                "block": np.asarray(_column(batch, "block_id")), "factor": np.asarray(_column(batch, "factor")), "near_at": near_o[:-1], "near_n": np.diff(near_o), "node_at": node_o[:-1], "node_n": np.diff(node_o),
                 "kind": np.asarray(nv.field("kind")), "var": np.asarray(nv.field("var_id")), "src": np.asarray(nv.field("src_id")).astype(np.int64),
                 "x": _matrix(nv.field("x"), model.ndim), "err": np.asarray(nv.field("err"), float), "drift": _matrix(nv.field("drift"), model.ndrift),
                 "node_x": _matrix(pv.field("x"), model.ndim), "node_w": np.asarray(pv.field("w"), float),
@@ -273,51 +306,96 @@ def solver(model: Model):
             shapes: dict = {}
             for r in range(batch.num_rows):
                 a, b = near_o[r], near_o[r + 1]
-                shape = (data["kind"][a:b].tobytes(), data["var"][a:b].tobytes(), int(data["node_n"][r]), r if model.varying else -1)
+                shape = (data["kind"][a:b].tobytes(), data["var"][a:b].tobytes(), int(data["node_n"][r]), _kinds(own[r]) if model.varying else None)
                 shapes.setdefault(shape, []).append(r)
             for shape, rows in shapes.items():
-                m = model
-                if model.varying:
-                    m = _replaced(model, own[rows[0]])
                 for at in range(0, len(rows), STACK):
-                    yield one_shape(m, np.array(rows[at : at + STACK]), data)
+                    some = rows[at : at + STACK]
+                    yield one_shape(_replaced(model, [own[r] for r in some]) if model.varying else model, np.array(some), data)
 
     return run
 
 
-def _replaced(model: Model, rows: list[dict]) -> Model:
-    """The model with a block's own structures: rows (ivar, jvar, struct_idx, vtype, nugget, sill, ranges, angles, is_product)."""
-    from dataclasses import replace
+def _ordered(rows: list[dict]) -> list[dict]:
+    return sorted(rows, key=lambda r: (min(r["ivar"], r["jvar"]), max(r["ivar"], r["jvar"]), r["struct_idx"]))
+
+
+def _kinds(rows: list[dict]) -> tuple:
+    """What has to be equal for the models of two blocks to be stacked."""
+    return tuple((min(r["ivar"], r["jvar"]), max(r["ivar"], r["jvar"]), model_name(r["vtype"]), r["is_product"]) for r in _ordered(rows))
 
-    vgm: dict = {}
-    for r in sorted(rows, key=lambda r: r["struct_idx"]):
-        s = Structure(r["vtype"], r["sill"], r["a_major"], r["nugget"], r["a_minor1"], r["a_minor2"], r["azimuth"], r["dip"], r["plunge"], r["is_product"])
-        pair = (min(r["ivar"], r["jvar"]), max(r["ivar"], r["jvar"]))
-        vgm[pair] = Variogram((*(vgm[pair].structures if pair in vgm else ()), s))
-    return replace(model, vgm={**model.vgm, **vgm}, varying=False)
+
+def _replaced(model: Model, blocks: list[list[dict]]) -> Model:
+    """The model with the blocks' own structures, which are of equal kinds: rows (ivar, jvar, struct_idx, vtype, nugget, sill, ranges,
+    angles, is_product) of each block."""
+    stacked: dict = {}
+    for rows in blocks:
+        own: dict = {}
+        for r in _ordered(rows):
+            s = Structure(r["vtype"], r["sill"], r["a_major"], r["nugget"], r["a_minor1"], r["a_minor2"], r["azimuth"], r["dip"], r["plunge"], r["is_product"])
+            own.setdefault((min(r["ivar"], r["jvar"]), max(r["ivar"], r["jvar"])), []).append(s)
+        for pair, structures in own.items():
+            stacked.setdefault(pair, []).append(structures)
+    return replace(model, vgm={**model.vgm, **{p: StackedVariogram.of(v, model.ndim) for p, v in stacked.items()}}, varying=False)
+
+
+def dealt(assembled: DataFrame) -> DataFrame:
+    """Rows with ``factor``, a key of what their left side is made from, by ranges of it."""
+    near = F.transform("near", lambda e: F.struct(e["kind"], e["var_id"], e["src_id"]))
+    own = ["vgm"] if "vgm" in assembled.columns else []
+    rows = assembled.withColumn("factor", F.xxhash64(near, "rangescale", "localnugget", *own))
+    return rows.repartitionByRange("factor", "block_id").sortWithinPartitions("factor", "block_id")
 
 
 def solved(assembled: DataFrame, model: Model) -> DataFrame:
-    """One row a block: status, whether its factor was shared inside its batch, weights, and the conditional covariance."""
-    return assembled.mapInArrow(solver(model), SOLVED)
+    """One row a block: the key of its factor, status, whether the row before it had made that factor, weights, and the conditional
+    covariance."""
+    return dealt(assembled).mapInArrow(solver(model), SOLVED)
+
+
+def factors(assembled: DataFrame, model: Model) -> DataFrame:
+    """(factor, data, lower, solved_constraints, schur): one row for each distinct neighbourhood: ids of its data, the Cholesky factor
+    of their covariances by rows, K^-1 F by rows, and F' K^-1 F by rows; null where there is no such factor."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                m, near, a, _ = _one(batch, r, model)
+                n = len(near) + (0 if m.gradients is None else len(m.gradients.var))
+                try:
+                    lower, (inverse, y, schur) = np.linalg.cholesky(a[:n, :n]), factored(a[None], n)
+                    parts = [lower, inverse[0].T @ y[0], schur[0]]
+                except np.linalg.LinAlgError:
+                    parts = [None] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([_column(batch, "factor")[r].as_py()], pa.int64()), pa.array([[p["src_id"] for p in near]], pa.list_(pa.int64())), *(pa.array([None if p is None else p.ravel()], pa.list_(pa.float64())) for p in parts)], names=["factor", "data", "lower", "solved_constraints", "schur"])
+
+    # one block of each neighbourhood, by a partial aggregate, so that a common one is not gathered
+    keyed = dealt(assembled)
+    one = keyed.groupBy("factor").agg(F.min("block_id").alias("block_id"))
+    return keyed.join(one, ["factor", "block_id"]).mapInArrow(run, "factor long, data array<long>, lower array<double>, solved_constraints array<double>, schur array<double>")
+
+
+def _one(batch, r: int, model: Model):
+    """(model, data, left side, right sides) of one row."""
+    near, nodes = _column(batch, "near")[r].as_py(), _column(batch, "nodes")[r].as_py()
+    m = _replaced(model, [_column(batch, "vgm")[r].as_py()]) if model.varying else model
+    kind, var = (np.array([p[c] for p in near]) for c in ("kind", "var_id"))
+    x = np.array([p["x"] for p in near], float)[None]
+    drift = np.array([p["drift"] for p in near], float).reshape(1, len(near), m.ndrift)
+    scale, nugget = (np.array([_column(batch, c)[r].as_py()], float) for c in ("rangescale", "localnugget"))
+    a = matrices(m, kind, var, x, np.array([[p["err"] for p in near]], float), drift, scale, nugget)[0]
+    tdrift = np.array(_column(batch, "tdrift")[r].as_py(), float).reshape(1, m.nvar, m.ndrift)
+    b = right_sides(m, var, x, np.array([p["x"] for p in nodes], float)[None], np.array([[p["w"] for p in nodes]], float), tdrift, scale)[0]
+    return m, near, a, b
 
 
 def linear_systems(assembled: DataFrame, model: Model) -> DataFrame:
     """(block_id, part, row, col, value): left and right sides of each block, for inspection ('a' and 'b')."""
-    from dataclasses import replace
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                near, nodes = _column(batch, "near")[r].as_py(), _column(batch, "nodes")[r].as_py()
-                m = _replaced(model, _column(batch, "vgm")[r].as_py()) if model.varying else replace(model)
-                kind, var = (np.array([p[c] for p in near]) for c in ("kind", "var_id"))
-                x = np.array([p["x"] for p in near], float)[None]
-                drift = np.array([p["drift"] for p in near], float).reshape(1, len(near), m.ndrift)
-                scale, nugget = (np.array([_column(batch, c)[r].as_py()], float) for c in ("rangescale", "localnugget"))
-                a = matrices(m, kind, var, x, np.array([[p["err"] for p in near]], float), drift, scale, nugget)[0]
-                tdrift = np.array(_column(batch, "tdrift")[r].as_py(), float).reshape(1, m.nvar, m.ndrift)
-                b = right_sides(m, var, x, np.array([p["x"] for p in nodes], float)[None], np.array([[p["w"] for p in nodes]], float), tdrift, scale)[0]
+                _, _, a, b = _one(batch, r, model)
                 for part, w in (("a", a), ("b", b)):
                     i, j = np.indices(w.shape)
                     n = w.size
@@ -327,5 +405,5 @@ def linear_systems(assembled: DataFrame, model: Model) -> DataFrame:
 
 
 def counters(table: DataFrame) -> DataFrame:
-    """(status, reused, n): how blocks were solved."""
-    return table.groupBy("status", "reused").agg(F.count("*").alias("n"))
+    """(status, n, factors): how blocks were solved, and by how many distinct factors."""
+    return table.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("factor").alias("factors"))
