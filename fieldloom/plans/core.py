@@ -155,7 +155,7 @@ def knn_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- estimation
 
 
-def ordinary_kriging(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordinary_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two neighbours, for which the weights have a closed form."""
     return _single(kriging.ordinary_kriging(supplier_obs(spark, sf_dir), nation_targets(spark, sf_dir), Variogram((Structure("exp", 4.0, 900.0, 0.5),)), 2))
 
@@ -174,8 +174,8 @@ def pure_nugget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurement_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = part_obs(spark, sf_dir).withColumn("err_var", (F.col("obs_id") % 5).cast("double"))
-    return _rounded(kriging.ordinary_kriging(obs, customer_targets(spark, sf_dir), PURE, 8), 5)
+    obs = part_obs(spark, sf_dir).withColumn("err_var", (F.col("obs_id") % 5 * 0.37).cast("double"))
+    return _rounded(kriging.ordinary_kriging(obs, customer_targets(spark, sf_dir), PURE, 8))
 
 
 def local_nugget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,15 +195,15 @@ def bounded_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _single(kriging.estimate(obs, t, k))
 
 
-def grid_kriging(spark: SparkSession, sf_dir: str, side: int = 40, nmax: int = 16) -> DataFrame:
+def grid_kriging(spark: SparkSession, sf_dir: str, side: int = 40, nmax: int = 16, vgm: Variogram = PURE) -> DataFrame:
     """A grid of ``side`` squared blocks from all order lines, a place each: estimate and variance, summed up."""
     obs = line_obs(spark, sf_dir).distinct().withColumn("value", F.pmod("obs_id", F.lit(1000)).cast("double"))
     blocks = targets.regular_grid(spark, [0.5, 0.5], [100000.0 / side] * 2, [side, side])
-    out = kriging.ordinary_kriging(obs, blocks, Variogram((Structure("nug", 0.0, 1.0, 2.0),)), nmax)
+    out = kriging.ordinary_kriging(obs, blocks, vgm, nmax)
     return _rounded(out.agg(F.count("estimate").alias("n"), F.sum("estimate").alias("total"), F.avg("variance").alias("variance")), 4)
 
 
-def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leave_one_out_nugget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pure nugget: the mean of the five nearest others."""
     return _single(kriging.leave_one_out(part_obs(spark, sf_dir), PURE, 5))
 
@@ -220,7 +220,7 @@ def weight_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _single(kriging.apply(kriging.solve(obs, t, k), obs.withColumn("value", F.col("value") * 2 + 1), k, t))
 
 
-def universal_kriging(spark: SparkSession, sf_dir: str) -> DataFrame:
+def universal_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values on a plane, with the coordinates as drift: the plane itself."""
     plane = 3 + F.col("x") * 0.01 - F.col("y") * 0.02
     drift = F.array(F.col("x") / 10007, F.col("y") / 9973)
@@ -297,7 +297,7 @@ def simulation_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One neighbour and draws of 0: each block takes the value of the nearest datum or earlier block."""
     t = nation_targets(spark, sf_dir)
-    obs = supplier_obs(spark, sf_dir).where("obs_id <= 5")
+    obs = supplier_obs(spark, sf_dir)
     path = t.select("block_id", (F.col("block_id") + 1).alias("pos"))
     eps = t.select("block_id", F.array(F.lit(0.0)).alias("eps"))
     out = simulation.simulate(obs, t, Kriging(Variogram((Structure("exp", 4.0, 900.0),)), search=Search(1)), 1, path=path, samples=eps)
@@ -386,24 +386,24 @@ NODE = "unnest([{'i': 1, 'o': -0.4305681558, 'w': 0.1739274226}, {'i': 2, 'o': -
 LOO5 = f"select block_id, avg(v) e from ({_ranked(PARTS.replace('obs_id', 'block_id').replace(' x,', ' tx,').replace(' y,', ' ty,').replace(' v,', ' tv,').replace(' cat', ' tcat'), PARTS, where='obs_id <> block_id')}) where r <= 5 group by block_id"
 
 QUERIES = {f.__name__: f for f in (
-    ordinary_kriging, leave_one_out, knn_join, sector_join, score_cdf, proportions, variogram_models, nested_covariance, spacetime_covariance, weighted_cdf, knn_large, knn_turned, sector_maxdist, knn_spacetime, knn_before,
-    ordinary_one, simple_one, pure_nugget, measurement_error, local_nugget, range_scale, bounded_estimate, validation, weight_replay, universal_kriging, block_nodes, block_centroids, block_kriging, cokriging_standard, cokriging_sum,
+    ordinary_two, leave_one_out_nugget, knn_join, sector_join, score_cdf, proportions, variogram_models, nested_covariance, spacetime_covariance, weighted_cdf, knn_large, knn_turned, sector_maxdist, knn_spacetime, knn_before,
+    ordinary_one, simple_one, pure_nugget, measurement_error, local_nugget, range_scale, bounded_estimate, validation, weight_replay, universal_plane, block_nodes, block_centroids, block_kriging, cokriging_standard, cokriging_sum,
     indicator_kriging, spacetime_kriging, simulation_draws, simulation_chain, path_positions, realisation_summary, duplicate_places, grid, grid_kriging,
 )}
 
 ORACLE_SQL = {
-    "ordinary_kriging": f"select block_id, round(w * v1 + (1 - w) * v2, 6) estimate, round(greatest(4.5 - w * k1 - (1 - w) * k2 - (k1 - 4.5 * w - c12 * (1 - w)), 0), 6) variance from (select *, 0.5 + (k1 - k2) / (2 * (4.5 - c12)) w from ({TWO}))",
+    "ordinary_two": f"select block_id, round(w * v1 + (1 - w) * v2, 6) estimate, round(greatest(4.5 - w * k1 - (1 - w) * k2 - (k1 - 4.5 * w - c12 * (1 - w)), 0), 6) variance from (select *, 0.5 + (k1 - k2) / (2 * (4.5 - c12)) w from ({TWO}))",
     "ordinary_one": _exp1("round(v, 6) estimate, round(2 * (c0 - c), 6) variance"),
     "simple_one": _exp1("round(1000 + c / c0 * (v - 1000), 6) estimate, round(c0 - c * c / c0, 6) variance"),
     "pure_nugget": f"select block_id, round(avg(v), 6) estimate, round((2 + 2 / 8.0)::double, 6) variance from ({NEAR8}) group by 1",
-    "measurement_error": f"select block_id, round(sum(v / (2 + obs_id % 5)) / sum(1 / (2.0::double + obs_id % 5)), 5) estimate, round(2 + 1 / sum(1 / (2.0::double + obs_id % 5)), 5) variance from ({NEAR8}) group by 1",
+    "measurement_error": f"select block_id, round(sum(v / (2 + obs_id % 5 * 0.37::double)) / sum(1 / (2.0::double + obs_id % 5 * 0.37::double)), 6) estimate, round(2 + 1 / sum(1 / (2.0::double + obs_id % 5 * 0.37::double)), 6) variance from ({NEAR8}) group by 1",
     "local_nugget": f"select block_id, round(avg(v), 6) estimate, round((2 + (2 + block_id % 4) / 8.0)::double, 6) variance from ({NEAR8}) group by 1",
     "range_scale": f"select block_id, round(v, 6) estimate, round(2 * (4.5 - 4 * exp(-3 * sqrt(d2) / (block_id % 3 + 1) / 900)), 6) variance from ({_ranked(CUSTOMERS, PARTS)}) where r = 1",
     "bounded_estimate": f"select block_id, round(greatest(1200, least(1400, avg(v))), 6) estimate, 2.25::double variance from ({NEAR8}) group by 1",
-    "leave_one_out": f"select block_id, round(e, 6) estimate, 2.4::double variance from ({LOO5})",
+    "leave_one_out_nugget": f"select block_id, round(e, 6) estimate, 2.4::double variance from ({LOO5})",
     "validation": f"select count(*) n, round(sqrt(avg((e - v) * (e - v))), 6) rmse, round(corr(e, v), 6) r, round(avg((e - v) * (e - v) / 2.4), 6) mssr from ({LOO5}) join ({PARTS}) on block_id = obs_id",
     "weight_replay": f"select block_id, round(avg(v * 2 + 1), 6) estimate, 2.25::double variance from ({NEAR8}) group by 1",
-    "universal_kriging": f"select block_id, round(3 + tx * 0.01 - ty * 0.02, 4) estimate from ({CUSTOMERS})",
+    "universal_plane": f"select block_id, round(3 + tx * 0.01 - ty * 0.02, 4) estimate from ({CUSTOMERS})",
     "block_nodes": f"select block_id, ((a.i - 1) * 4 + b.i)::int node_id, round(tx + a.o * 10, 6) x, round(ty + b.o * 20, 6) y, round(a.w::double * b.w::double, 6) weight from ({TARGETS}), (select {NODE} a), (select {NODE} b)",
     "block_centroids": "select o_custkey::bigint block_id, round(avg((o_orderkey * 37) % 1009), 6) x, round(avg((o_orderkey * 61) % 997), 6) y from orders group by 1",
     "block_kriging": f"select block_id, round(v, 6) estimate, round(greatest(2 + 2 * exp(-3 * 12 / 900.0) - 2 * k + 4, 0), 6) variance from (select *, 2 * exp(-3 * sqrt(pow(tx - 6 - x, 2) + pow(ty - y, 2)) / 900) + 2 * exp(-3 * sqrt(pow(tx + 6 - x, 2) + pow(ty - y, 2)) / 900) k from ({_ranked(CUSTOMERS, PARTS)}) where r = 1)",
@@ -413,7 +413,7 @@ ORACLE_SQL = {
     "indicator_kriging": f"select block_id, c::int var_id, round(avg(case when cat = c then 1.0 else 0.0 end), 6) estimate from ({NEAR8}), (select unnest([1, 2, 3]) c) group by 1, 2",
     "spacetime_kriging": f"select block_id, round(v, 6) estimate, round(2 * (4.6875 - (0.5 * cs * ct + cs + ct)), 6) variance from (select *, case when ds = 0 then 2.5 else 2 * exp(-3 * ds / 300) end cs, case when dt = 0 then 1.25 else exp(-3 * dt / 20) end ct from (select *, sqrt(pow(tx - x, 2) + pow(ty - y, 2)) ds, abs(tt - t) dt from ({_ranked(TARGETS, OBS, '(tx - x) * (tx - x) + (ty - y) * (ty - y) + (tt * 4 - t * 4) * (tt * 4 - t * 4)')}) where r = 1))".replace("4.6875", "(0.5 * 2.5 * 1.25 + 2.5 + 1.25)"),
     "simulation_draws": "select c_custkey::bigint block_id, 1::int var_id, s::int sim_id, round(10 + sqrt(2) * ((c_custkey * case when s = 1 then 1 else 3 end) % 11 - 5), 6) as value from customer, (select unnest([1, 2]) s)",
-    "simulation_chain": f"with recursive o as ({OBS}), t as ({TARGETS}), near as (select block_id, kind, src from (select *, row_number() over (partition by block_id order by d2, kind, src) r from (select t.block_id, 0 kind, o.obs_id src, (tx - x) * (tx - x) + (ty - y) * (ty - y) d2 from t, o where obs_id <= 5 union all select t.block_id, 1, p.block_id, (t.tx - p.tx) * (t.tx - p.tx) + (t.ty - p.ty) * (t.ty - p.ty) from t, t p where p.block_id < t.block_id)) where r = 1), chain as (select block_id, kind, src from near union all select c.block_id, n.kind, n.src from chain c join near n on c.kind = 1 and c.src = n.block_id) select block_id, 1::int var_id, 1::int sim_id, round(v, 6) as value from chain join o on kind = 0 and src = obs_id",
+    "simulation_chain": f"with recursive o as ({OBS}), t as ({TARGETS}), near as (select block_id, kind, src from (select *, row_number() over (partition by block_id order by d2, kind, src) r from (select t.block_id, 0 kind, o.obs_id src, (tx - x) * (tx - x) + (ty - y) * (ty - y) d2 from t, o union all select t.block_id, 1, p.block_id, (t.tx - p.tx) * (t.tx - p.tx) + (t.ty - p.ty) * (t.ty - p.ty) from t, t p where p.block_id < t.block_id)) where r = 1), chain as (select block_id, kind, src from near union all select c.block_id, n.kind, n.src from chain c join near n on c.kind = 1 and c.src = n.block_id) select block_id, 1::int var_id, 1::int sim_id, round(v, 6) as value from chain join o on kind = 0 and src = obs_id",
     "path_positions": "select row_number() over (order by c_custkey) pos, 1::bigint n from customer",
     "realisation_summary": "select c_custkey::bigint block_id, 1::int var_id, round(avg(v), 6) mean, round(stddev(v), 6) sd, round(quantile_cont(v, 0.1), 6) p10, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.9), 6) p90 from (select c_custkey, unnest([c_acctbal::double, c_acctbal::double * 2, c_acctbal::double * 3, c_acctbal::double * 5, c_acctbal::double * 8]) v from customer) group by 1",
     "knn_join": f"select block_id, obs_id, d2, r as rank from ({_ranked(TARGETS, OBS)}) where r <= 8 and d2 <= 160000",

@@ -1,22 +1,25 @@
 """Estimators against dense linear algebra written out by hand, and defined results of edge cases."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.normal import BackTransform, Tails, cdf, inverse, score_table, scores
+from fieldloom.functions import normal
+from fieldloom.functions.normal import Tails, cdf, inverse, score_table, scores
 from fieldloom.functions.rotation import rotation, transform
 from fieldloom.functions.spacetime import SpaceTimeVariogram, TimeTransform
 from fieldloom.functions.variogram import Structure, Variogram
-from fieldloom.operators import indicator, kriging, neighbours, simulation, systems, targets
+from fieldloom.operators import brackets, indicator, kriging, levels, neighbours, ranges, simulation, systems, targets
 from fieldloom.operators.kriging import Kriging
 from fieldloom.operators.neighbours import Search
 from fieldloom.operators.spacetime import spacetime, spacetime_kriging
 
 V = Variogram((Structure("sph", 3.0, 40.0, 0.2),))
+TAILS = Tails(0.0, 20.0, "power", "hyperbolic", 2.0, 1.5)
 
 
 def frame(spark, rows, names):
@@ -216,12 +219,40 @@ def test_normal_scores_round_trip(spark):
     values = frame(spark, [(float(v),) for v in (5, 1, 3, 3, 9, 2)], ["value"])
     table = score_table(values)
     assert np.allclose([r.p for r in table.orderBy("z").collect()], [1 / 12, 3 / 12, 6 / 12, 9 / 12, 11 / 12])
-    back = BackTransform.collect(table, Tails(0.0, 20.0, "power", "hyperbolic", 2.0, 1.5))
-    got = scores(values, table).collect()
-    assert np.allclose(back(np.array([r.score for r in got])), [r.value for r in got])
+    got = scores(values, table)
+    again = normal.back(got.withColumnRenamed("value", "was"), table, TAILS).collect()
+    assert len(again) == 6 and np.allclose([r.value for r in again], [r.was for r in again])
     q = np.array([1 / 24, 0.95])
-    assert np.allclose(back(inverse(q)), [0.25, min(20.0, ((1 / 12) * 9**1.5 / 0.05) ** (1 / 1.5))])
-    assert np.allclose(back.forward(np.array([4.0])), inverse(np.array([0.625])))
+    asked = frame(spark, [(float(v),) for v in inverse(q)], ["score"]).unionByName(spark.createDataFrame([(None,)], "score double"))
+    beyond = sorted(r.value for r in normal.back(asked, table, TAILS).where("value is not null").collect())
+    assert np.allclose(beyond, [0.25, min(20.0, ((1 / 12) * 9**1.5 / 0.05) ** (1 / 1.5))])
+    assert normal.back(asked, table, TAILS).where("value is null").count() == 1 and normal.back(asked, table.limit(0)).where("value is not null").count() == 0
+    between = normal.forward(frame(spark, [(4.0,), (0.0,), (99.0,)], ["value"]), table).orderBy("value").collect()
+    assert np.allclose([r.score for r in between], inverse(np.array([1 / 12, 0.625, 11 / 12])))
+
+
+def test_normal_columns_equal_the_library(spark):
+    y = np.linspace(-9, 9, 400)
+    rows = frame(spark, [(float(v), 0.5 * math.erfc(-v / math.sqrt(2))) for v in y], ["y", "p"])
+    got = rows.select("y", "p", normal.normal_cdf("y").alias("cdf"), normal.normal_inverse("p").alias("inv")).collect()
+    assert np.allclose([r.cdf for r in got], [r.p for r in got], rtol=1e-7, atol=1e-16)
+    exact = NormalDist()
+    assert np.allclose([r.inv for r in got], [exact.inv_cdf(min(max(r.p, normal.EDGE), 1 - normal.EDGE)) for r in got], rtol=1e-13)
+
+
+def test_brackets_are_found_over_all_ranges(spark):
+    """Knots and queries in many ranges, one value asked for by a third of the rows, nulls and values beyond the ends."""
+    r = np.random.default_rng(8)
+    knots = np.unique(np.round(r.normal(0, 10, 3_000), 2))
+    asked = np.concatenate([r.normal(0, 12, 4_000), np.full(2_000, 1.25), knots[:50], [-99.0, 99.0]])
+    k = spark.createDataFrame(pd.DataFrame({"z": knots, "p": np.arange(len(knots)) / len(knots)}))
+    q = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(asked)), "v": asked})).unionByName(spark.createDataFrame([(-1, None)], "i long, v double"))
+    got = {x.i: x for x in brackets.bracketed(q, k, "v", "z", ["p"]).collect()}
+    assert len(got) == len(asked) + 1 and got[-1].low is None and got[-1].high is None
+    at = np.searchsorted(knots, asked, "right")
+    for i, a in enumerate(at.tolist()):
+        low, high = got[i].low, got[i].high
+        assert (low.key if low else None) == (knots[a - 1] if a else None) and (high.key if high else None) == (knots[a] if a < len(knots) else None)
 
 
 def test_simulation_repeats_and_replays(spark):
@@ -248,7 +279,7 @@ def test_joint_simulation_has_the_model_covariance(spark):
     obs = frame(spark, [(1, 1, 0.0, 0.0, 0.0), (1, 2, 0.0, 0.0, 0.0)], ["obs_id", "var_id", "x", "y", "value"])
     k = Kriging(vgm, nvar=2, unbiased=False, search=Search(4), means=(0.0, 0.0))
     t = targets.regular_grid(spark, [1.0, 1.0], [1.0, 1.0], [20, 20])
-    out = simulation.gaussian_simulation(obs, t, k, 4, 3).toPandas().pivot(index=["block_id", "sim_id"], columns="var_id", values="value")
+    out = simulation.simulate(obs, t, k, 4, 3).toPandas().pivot(index=["block_id", "sim_id"], columns="var_id", values="value")
     assert np.allclose(np.cov(out.to_numpy().T), [[4, 1.6], [1.6, 1]], atol=0.5)
 
 
@@ -299,3 +330,121 @@ def test_block_means_and_time_nodes(spark):
     assert np.isclose(got.estimate, each.agg(F.sum(F.col("estimate") * F.col("weight")) / F.sum("weight")).first()[0], atol=1e-6)
     alike = targets.weighted_nodes(nodes.drop("weight")).agg(F.sum("weight"), F.min("weight")).first()
     assert np.allclose(list(alike), [1.0, 1 / 16])
+
+
+def _as_in_path(x, z, x0, v, mean, eps, k):
+    """Simple kriging along the rows of x0, one after another, from data and earlier rows."""
+    out = []
+    for i, p in enumerate(x0):
+        places = np.vstack([x, x0[:i]])
+        values = np.append(z, out)
+        d2 = ((places - p) ** 2).sum(1)
+        near = np.lexsort((np.arange(len(d2)), d2))[:k]
+        c = v.covariance(places[near][:, None] - places[near][None])
+        b = v.covariance(places[near] - p)
+        w = np.linalg.solve(c, b)
+        out.append(mean + w @ (values[near] - mean) + math.sqrt(max(v.at_zero() - w @ b, 0)) * eps[i])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 2048])
+def test_simulation_by_levels_equals_the_path(spark, stretch):
+    """Steps that are levels, stretches, or one stretch give what a pass along the path gives."""
+    x, z, obs = scattered(spark, 10)
+    r = np.random.default_rng(3)
+    x0, eps = r.uniform(0, 100, (40, 2)), r.normal(size=40)
+    t = points(spark, x0)
+    draws = spark.createDataFrame([(i + 1, [float(e), float(-e)]) for i, e in enumerate(eps)], "block_id long, eps array<double>")
+    k = Kriging(V, search=Search(5), unbiased=False, means=(1.5,))
+    got = simulation.simulate(obs, t, k, 2, path=t.select("block_id", F.col("block_id").alias("pos")), samples=draws, stretch=stretch).toPandas()
+    for s, e in ((1, eps), (2, -eps)):
+        mine = got[got.sim_id == s].sort_values("block_id").value.to_numpy()
+        assert np.allclose(mine, _as_in_path(x, z, x0, V, 1.5, e, 5))
+
+
+def test_steps_are_levels_or_stretches(spark):
+    blocks = spark.createDataFrame([(i, i) for i in range(1, 13)], "block_id long, pos long")
+    chain = spark.createDataFrame([(i, i - 1) for i in range(2, 13)], "block_id long, src_id long")
+    got, narrow = levels.steps(blocks, chain, 5)
+    assert narrow == [True] * 3 and sorted((r.step, r.block_id) for r in got.collect()) == [((i - 1) // 5, i) for i in range(1, 13)]
+    star = spark.createDataFrame([(i, 1 + i % 3) for i in range(4, 13)], "block_id long, src_id long")
+    got, narrow = levels.steps(blocks, star, 3)
+    assert narrow == [False, False] and {r.block_id: r.step for r in got.collect()} == {i: int(i > 3) for i in range(1, 13)}
+    assert levels.steps(blocks.limit(0), star)[1] == []
+
+
+def test_draws_can_be_made_again(spark):
+    t = targets.regular_grid(spark, [5.0, 5.0], [500.0, 500.0], [5, 4])
+    obs = frame(spark, [(1, -1e6, 0.0, 0.0)], ["obs_id", "x", "y", "value"])
+    far = Kriging(Variogram((Structure("nug", 0.0, 1.0, 1.0),)), search=Search(2), unbiased=False, means=(0.0,))
+    got = simulation.simulate(obs, t, far, 20, 11).toPandas().sort_values(["block_id", "sim_id"])
+    want = simulation.draws(t, 20, 1, 11).toPandas().sort_values(["block_id", "sim_id"])
+    assert np.allclose(got.value, want.eps) and abs(want.eps.mean()) < 0.2 and abs(want.eps.std() - 1) < 0.15
+    u = simulation.draws(t, 20, 3, 11, categories=True)
+    assert u.count() == 400 and u.where("eps <= 0 or eps >= 1").isEmpty()
+
+
+@pytest.mark.parametrize("small", [0, 2048])
+def test_neighbours_of_clusters_and_far_targets(spark, monkeypatch, small):
+    """Half of the sources at one spot and in one cell, targets far outside, few sources before a target in the path."""
+    monkeypatch.setattr(neighbours, "SMALL", small)
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "STRETCH", 100)
+    r = np.random.default_rng(5)
+    x = np.vstack([np.full((300, 2), 3.0), r.normal(0, 1e-3, (300, 2)), r.uniform(-100, 100, (500, 2))])
+    t = np.vstack([r.normal(0, 1e-3, (40, 2)), r.uniform(-100, 100, (40, 2)), [[1e6, 1e6], [-1e5, 0.0], [3.0, 3.0]]])
+    obs = frame(spark, np.column_stack([np.arange(len(x)), x, r.permutation(len(x))]), ["obs_id", "x", "y", "pos"]).withColumn("obs_id", F.col("obs_id").cast("long"))
+    at = r.integers(0, len(x), len(t))
+    want_pos = obs.toPandas().pos.to_numpy()
+    asked = points(spark, t).join(spark.createDataFrame([(i + 1, int(p)) for i, p in enumerate(at)], "block_id long, pos long"), "block_id")
+    for order in (None, "pos"):
+        got = {}
+        for row in neighbours.neighbours(asked, obs, ["x", "y"], Search(6), order=order, carry=("x",)).collect():
+            got.setdefault(row.block_id, []).append((row["rank"], row.obs_id, row.x))
+        for i, p in enumerate(t):
+            d2 = (p[0] - x[:, 0]) ** 2 + (p[1] - x[:, 1]) ** 2
+            able = np.flatnonzero(want_pos < at[i]) if order else np.arange(len(x))
+            want = able[np.lexsort((able, d2[able]))[:6]]
+            assert [o for _, o, _ in sorted(got.get(i + 1, []))] == want.tolist()
+            assert all(c == x[o, 0] for _, o, c in got.get(i + 1, []))
+
+
+def test_ranges_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 50)
+    r = np.random.default_rng(6)
+    x = np.round(np.vstack([r.normal(0, 2, (600, 2)), r.uniform(-50, 50, (600, 2))]), 1)
+    t = np.round(r.uniform(-60, 60, (30, 2)), 1)
+    obs = frame(spark, np.column_stack([np.arange(len(x)), x]), ["obs_id", "x", "y"]).withColumn("obs_id", F.col("obs_id").cast("long"))
+    asked = points(spark, t).withColumn("r", F.when(F.col("block_id") == 3, F.lit(None)).otherwise((F.col("block_id") % 7) * 10.0))
+    found = {}
+    for row in ranges.within(asked, obs, ["x", "y"], "r").collect():
+        found.setdefault(row.block_id, set()).add(row.obs_id)
+    counted = {row.block_id: row.n for row in ranges.count_within(asked, obs, ["x", "y"], "r").collect()}
+    for i, p in enumerate(t):
+        want = set(np.flatnonzero((p[0] - x[:, 0]) ** 2 + (p[1] - x[:, 1]) ** 2 <= ((i + 1) % 7 * 10.0) ** 2).tolist()) if i != 2 else set()
+        assert found.get(i + 1, set()) == want and counted.get(i + 1) == (len(want) if i != 2 else None)
+    assert ranges.within(asked, obs.limit(0), ["x", "y"], 5.0).count() == 0 and ranges.count_within(asked, obs.limit(0), ["x", "y"], 5.0).agg(F.max("n")).first()[0] == 0
+
+
+def test_factors_multiply_back(spark):
+    x, z, obs = scattered(spark, 12)
+    k = Kriging(V, search=Search(5), ndrift=1)
+    obs, t = obs.withColumn("drift", F.array("x")), points(spark, np.vstack([x[:4] + 0.5, x[:4] + 0.5])).withColumn("drift", F.array("x"))
+    rows = kriging.assembled(kriging.points_of(obs, k), t, k)
+    got = systems.factors(rows, k.model()).collect()
+    assert len(got) == 4
+    for f in got:
+        lower = np.array(f.lower).reshape(5, 5)
+        at = x[np.array(f.data) - 1]
+        c, drift = V.covariance(at[:, None] - at[None]), np.column_stack([at[:, 0], np.ones(5)])
+        assert np.allclose(lower @ lower.T, c) and np.allclose(np.array(f.solved_constraints).reshape(5, 2), np.linalg.solve(c, drift))
+        assert np.allclose(np.array(f.schur).reshape(2, 2), drift.T @ np.linalg.solve(c, drift))
+    table = kriging.solve(obs, t, k)
+    assert [(r.n, r.factors) for r in systems.counters(table).collect()] == [(8, 4)]
+
+
+def test_one_bad_system_is_solved_alone():
+    good, bad = np.eye(3) * 2, np.ones((3, 3))
+    a = np.stack([good, good, bad, good * 3])
+    x, status = systems.solve_stack(a, np.array([0, 1, 2, 3, 3]), np.ones((5, 3, 1)), 3)
+    assert status.tolist()[:2] == ["ok", "ok"] and status[2] != "fail" and np.allclose(x[3], 1 / 6) and np.allclose(x[0], 0.5)
