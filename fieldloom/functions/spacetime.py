@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from .variogram import Structure, Variogram, model_name, rho_values
+from .rotation import squared_length, transformed
+from .variogram import Structure, Variogram, model_name, rho, rho_values
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,10 @@ class TimeTransform:
         out = self.nugget + self.sill * (1 - rho_values(self.model, dt / self.at))
         return np.where(dt <= np.finfo(float).eps, 0.0, np.maximum(out, 0.0))
 
+    def column(self, dt: Column) -> Column:
+        out = self.nugget + self.sill * (1 - rho(self.model, F.abs(dt) / self.at))
+        return F.when(F.abs(dt) <= float(np.finfo(float).eps), 0.0).otherwise(F.greatest(out, F.lit(0.0)))
+
 
 @dataclass(frozen=True)
 class SpaceTimeVariogram:
@@ -62,5 +69,16 @@ class SpaceTimeVariogram:
         f = self.transform(dt)
         return cs + ct + sum((sill * rho_values(s.model, np.sqrt(s.relative(h) ** 2 + f * f)) for sill, s in self._joint()), np.zeros(dt.shape))
 
+    def covariance_column(self, lags: list[Column]) -> Column:
+        """The same as a column of lag components, time last."""
+        h, dt = lags[:-1], lags[-1]
+        cs, ct = self.space.covariance_column(h), self.time.covariance_column([F.abs(dt)])
+        if self.kind == "product_sum":
+            return self.k * cs * ct + cs + ct
+        f, out = self.transform.column(dt), cs + ct
+        for sill, s in self._joint():
+            out = out + sill * rho(s.model, F.sqrt(squared_length(transformed(s.matrix(len(h)), h)) + f * f))
+        return out
+
     def describe(self) -> str:
         return f"{self.kind}\nspace\n{self.space.describe()}\ntime\n{self.time.describe()}\njoint sills {self.joint_sills} at {self.transform.at} k {self.k}"

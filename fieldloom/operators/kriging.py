@@ -23,6 +23,8 @@ from .systems import Gradients, Model
 from .targets import duplicate_places, weighted_nodes
 
 SIDES = ("kind", "var_id", "src_id")
+#: Pairs of places with a known difference that every system may hold.
+PAIRS = 2_000
 
 
 @dataclass(frozen=True)
@@ -53,13 +55,15 @@ class Kriging:
         return self.search[var] if isinstance(self.search, dict) else self.search
 
     def _gradients(self) -> Gradients | None:
-        """Pairs are part of every block's system, so they are few by design; they are collected."""
+        """Pairs are part of every block's system, so they are few by design: they are collected, PAIRS at most."""
         if self.gradients is None:
             return None
         d = len(self.dims)
         g = self.gradients
         drift = F.col("drift_diff") if "drift_diff" in g.columns else F.array(*(F.lit(0.0) for _ in range(self.ndrift)))
-        rows = g.select("var_id", "grad_id", *(f"{c}{e}" for e in (1, 2) for c in self.dims), F.coalesce("variance", F.lit(0.0)).alias("variance"), drift.alias("drift")).orderBy("var_id", "grad_id").collect()
+        rows = g.select("var_id", "grad_id", *(f"{c}{e}" for e in (1, 2) for c in self.dims), F.coalesce("variance", F.lit(0.0)).alias("variance"), drift.alias("drift")).orderBy("var_id", "grad_id").limit(PAIRS + 1).collect()
+        if len(rows) > PAIRS:
+            raise ValueError(f"more than {PAIRS} pairs of places with a known difference")
         if not rows:
             return None
         ends = np.array([list(r)[2 : 2 + 2 * d] for r in rows], float)
@@ -147,8 +151,9 @@ def cov_rows(table: DataFrame) -> DataFrame:
     return table.select("block_id", "status", F.explode("cov").alias("e")).select("block_id", "e.ivar", "e.jvar", "e.cov", "status")
 
 
-def apply(table: DataFrame, obs: DataFrame, k: Kriging, targets: DataFrame | None = None) -> DataFrame:
-    """(block_id, var_id, estimate, variance) from stored weights and any values of the same observations.
+def apply(table: DataFrame, obs: DataFrame, k: Kriging, targets: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(block_id, var_id, estimate, variance) from stored weights and any values of the same observations. ``rows``: the weights by
+    source, where they are stored in that form too.
 
     With ``targets`` each of them has its rows, null where it had no neighbour. Failed systems have null estimates.
     """
@@ -156,7 +161,7 @@ def apply(table: DataFrame, obs: DataFrame, k: Kriging, targets: DataFrame | Non
     if k.gradients is not None:
         g = k.gradients.select(F.lit(2).alias("kind"), F.col("var_id").cast("int").alias("var_id"), F.col("grad_id").cast("long").alias("src_id"), F.col("value").cast("double").alias("value"))
         data = data.unionByName(g)
-    weighted = weight_rows(table).join(data, list(SIDES))
+    weighted = (weight_rows(table) if rows is None else rows).join(data, list(SIDES))
     # per source variable first: the sum-to-one form of several variables shifts each by the difference of local means
     by_var = weighted.groupBy("block_id", "target_var", "var_id").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum(F.when(F.col("kind") < 2, F.col("w")).otherwise(0.0)).alias("sw"), F.avg(F.when(F.col("kind") < 2, F.col("value"))).alias("m"))
     other = F.col("var_id") != F.col("target_var")

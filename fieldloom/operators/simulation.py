@@ -246,6 +246,13 @@ def summaries(simulated: DataFrame) -> DataFrame:
     return simulated.groupBy("block_id", "var_id").agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
 
 
+def wide(simulated: DataFrame, targets: DataFrame, k: Kriging, nsim: int) -> DataFrame:
+    """One row a target: coordinates and sim_1.., or v1_s1.. for several variables."""
+    name = lambda v, s: f"sim_{s}" if k.nvar == 1 else f"v{v}_s{s}"
+    each = [F.max(F.when((F.col("var_id") == v) & (F.col("sim_id") == s), F.col("value"))).alias(name(v, s)) for v in range(1, k.nvar + 1) for s in range(1, nsim + 1)]
+    return targets.select("block_id", *k.dims).join(simulated.groupBy("block_id").agg(*each), "block_id", "left")
+
+
 def score_simulation(obs: DataFrame, targets: DataFrame, k: Kriging, tails: Tails, nsim: int = 1, seed: int | None = 1, weight: str | None = None, **kwargs) -> DataFrame:
     """Simulation of one variable in normal scores: forward by the observations' own distribution, and back with tails."""
     table = stage(score_table(obs, "value", weight))

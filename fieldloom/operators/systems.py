@@ -177,17 +177,39 @@ def _solve_one(a: np.ndarray, rhs: np.ndarray, n: int) -> tuple[np.ndarray, str]
     return np.full(rhs.shape, np.nan), "fail"
 
 
-def factored(a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def factored(a: np.ndarray, n: int, shared: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of left sides (b, m, m) whose first n rows are data: the inverse of the Cholesky factor L of their covariances,
-    Y = L^-1 F of the constraints F, and their Schur complement F' K^-1 F. LinAlgError where one has no such factor."""
-    inverse = np.linalg.inv(np.linalg.cholesky(a[:, :n, :n]))
+    Y = L^-1 F of the constraints F, and their Schur complement F' K^-1 F. LinAlgError where one has no such factor.
+
+    ``shared``: data at the beginning whose covariances are the same in all of the stack: their block is factored once, and of
+    each system just its Schur complement."""
+    k = a[:, :n, :n]
+    if shared and n > shared:
+        top = np.linalg.inv(np.linalg.cholesky(k[0, :shared, :shared]))
+        t = top @ k[:, :shared, shared:]
+        own = np.linalg.inv(np.linalg.cholesky(k[:, shared:, shared:] - t.transpose(0, 2, 1) @ t))
+        inverse = np.zeros(k.shape)
+        inverse[:, :shared, :shared], inverse[:, shared:, shared:] = top, own
+        inverse[:, shared:, :shared] = -own @ t.transpose(0, 2, 1) @ top
+    else:
+        inverse = np.linalg.inv(np.linalg.cholesky(k))
     y = inverse @ a[:, :n, n:]
     return inverse, y, y.transpose(0, 2, 1) @ y
 
 
-def by_factors(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int) -> np.ndarray:
-    """Solutions of ``a[which] x = rhs``, each left side factored once: per right side two products with its factor are left."""
-    inverse, y, schur = factored(a, n)
+def by_factors(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int, pairs: int = 0) -> np.ndarray:
+    """Solutions of ``a[which] x = rhs``, each left side factored once: per right side two products with its factor are left.
+    ``pairs``: how many of the n data, the last ones, are the same pairs of places in all systems; they are put first."""
+    if pairs and n > pairs and (a[:, n - pairs : n, n - pairs : n] == a[:1, n - pairs : n, n - pairs : n]).all():
+        order = np.concatenate([np.arange(n - pairs, n), np.arange(n - pairs), np.arange(n, a.shape[1])])
+        out = np.empty(rhs.shape)
+        out[:, order] = _by_factors(a[:, order[:, None], order], which, rhs[:, order], n, pairs)
+        return out
+    return _by_factors(a, which, rhs, n, 0)
+
+
+def _by_factors(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int, shared: int) -> np.ndarray:
+    inverse, y, schur = factored(a, n, shared)
     v = inverse[which] @ rhs[:, :n]
     if a.shape[1] == n:
         return inverse.transpose(0, 2, 1)[which] @ v
@@ -195,17 +217,17 @@ def by_factors(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int) -> np.
     return np.concatenate([inverse.transpose(0, 2, 1)[which] @ (v - y[which] @ multipliers), multipliers], 1)
 
 
-def solve_stack(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def solve_stack(a: np.ndarray, which: np.ndarray, rhs: np.ndarray, n: int, pairs: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Solutions of ``a[which] x = rhs`` and their status. A stack that has no factors is halved until the one that has none is
     alone; that one is eliminated as it is."""
     status = np.full(len(which), "ok", object)
     try:
-        x = by_factors(a, which, rhs, n)
+        x = by_factors(a, which, rhs, n, pairs)
     except np.linalg.LinAlgError:
         if len(a) > 1:
             x, half = np.empty(rhs.shape), len(a) // 2
             for rows, part, first in ((which < half, a[:half], 0), (which >= half, a[half:], half)):
-                x[rows], status[rows] = solve_stack(part, which[rows] - first, rhs[rows], n)
+                x[rows], status[rows] = solve_stack(part, which[rows] - first, rhs[rows], n, pairs)
             return x, status
         try:
             x = np.linalg.solve(np.repeat(a, len(which), 0), rhs)
@@ -266,7 +288,8 @@ def solver(model: Model):
         which = which.ravel()
         a = matrices(m.rows(some), kind, var, x[some], err[some], drift[some], scale[some], nugget[some])
         rhs = right_sides(m, var, x, nodes, node_w, data["tdrift"][rows], scale)
-        s, status = solve_stack(a, which, rhs, n + (0 if m.gradients is None else len(m.gradients.var)))
+        pairs = 0 if m.gradients is None else len(m.gradients.var)
+        s, status = solve_stack(a, which, rhs, n + pairs, pairs)
         if not m.neglect_errors and (status == "fail").any():
             raise RuntimeError(f"singular system at block {data['block'][rows[np.flatnonzero(status == 'fail')[0]]]}")
         if m.positive_weights and m.nvar == 1:

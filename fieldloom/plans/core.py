@@ -85,20 +85,13 @@ def nested_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spacetime_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum-metric and product-sum covariances of space-time lags, by the array functions of the solver."""
-    import numpy as np
-
+    """Sum-metric and product-sum covariances of space-time lags, as columns."""
     cs, ct = Variogram((Structure("sph", 2.0, 30.0, 0.5),)), Variogram((Structure("exp", 1.0, 10.0, 0.25),))
     metric = SpaceTimeVariogram(cs, ct, "sum_metric", (0.75,), TimeTransform("lin", 0.0, 1.0, 40.0))
     product = SpaceTimeVariogram(cs, ct, "product_sum", k=0.5)
-
-    def run(frames):
-        for f in frames:
-            lags = np.stack([f.h.to_numpy(float), np.zeros(len(f)), f.dt.to_numpy(float)], 1)
-            yield f[["id"]].assign(metric=metric.covariance(lags), product=product.covariance(lags))
-
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") - 1).cast("double").alias("h"), F.pmod(F.col("p_partkey"), F.lit(23)).cast("double").alias("dt"))
-    return _rounded(part.mapInPandas(run, "id long, metric double, product double"), 9)
+    lag = [(F.col("p_size") - 1).cast("double"), F.lit(0.0), F.pmod(F.col("p_partkey"), F.lit(23)).cast("double")]
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), metric.covariance_column(lag).alias("metric"), product.covariance_column(lag).alias("product"))
+    return _rounded(part, 9)
 
 
 def score_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,18 +5,21 @@ import pytest
 import __spark_entry__ as entry
 from fieldloom.functions.variogram import Structure, Variogram
 from fieldloom.operators import kriging
-from fieldloom.plans import core
+from fieldloom.plans import core, general
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+QUERIES, ORACLE_SQL = core.QUERIES | general.QUERIES, core.ORACLE_SQL | general.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
-    got = core.QUERIES[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("supplier", "nation", "part", "events", "customer", "orders", "lineitem"):
+    for t in ("supplier", "nation", "part", "events", "customer", "orders", "lineitem", "region"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want = con.execute(core.ORACLE_SQL[name]).df()[list(got.columns)]
+    want = con.execute(ORACLE_SQL[name]).df()[list(got.columns)]
     keys = list(got.columns)
     got, want = (f.sort_values(keys).reset_index(drop=True) for f in (got, want))
     assert len(got) == len(want) > 0

@@ -448,3 +448,49 @@ def test_one_bad_system_is_solved_alone():
     a = np.stack([good, good, bad, good * 3])
     x, status = systems.solve_stack(a, np.array([0, 1, 2, 3, 3]), np.ones((5, 3, 1)), 3)
     assert status.tolist()[:2] == ["ok", "ok"] and status[2] != "fail" and np.allclose(x[3], 1 / 6) and np.allclose(x[0], 0.5)
+
+
+def test_spacetime_columns_equal_arrays(spark):
+    r = np.random.default_rng(2)
+    lags = np.vstack([r.uniform(-40, 40, (50, 3)), np.zeros((1, 3)), [[0.0, 0.0, 3.0]], [[5.0, 0.0, 0.0]]])
+    space = Variogram((Structure("sph", 2.0, 40.0, 0.5, 20.0, azimuth=30.0), Structure("exp", 1.0, 60.0)))
+    for st in (SpaceTimeVariogram(space, Variogram((Structure("exp", 1.0, 10.0, 0.25),)), "sum_metric", (0.75, 0.5), TimeTransform("sph", 0.1, 2.0, 40.0)), SpaceTimeVariogram(space, V, "product_sum", k=0.5)):
+        got = frame(spark, lags, ["a", "b", "t"]).select(st.covariance_column([F.col("a"), F.col("b"), F.col("t")]).alias("c")).collect()
+        assert np.allclose([x.c for x in got], st.covariance(lags))
+
+
+def test_gradients_in_time_against_dense(spark):
+    """Pairs in place and time, with the shared block factored once, against the whole system."""
+    x, z, obs = scattered(spark, 9, 6, ("x", "y", "t"))
+    st = SpaceTimeVariogram(V, Variogram((Structure("exp", 1.0, 30.0, 0.1),)), "product_sum", k=0.2)
+    ends = np.array([[10.0, 10.0, 5.0, 20.0, 10.0, 15.0], [50.0, 40.0, 0.0, 50.0, 40.0, 30.0]])
+    pairs = frame(spark, [(1, i, *e, 0.5 - i, 0.2) for i, e in enumerate(ends.tolist())], ["var_id", "grad_id", "x1", "y1", "t1", "x2", "y2", "t2", "value", "variance"])
+    x0 = np.array([[30.0, 30.0, 10.0], [60.0, 20.0, 40.0]])
+    k = spacetime(st, nmax=9, time_at=1.0, gradients=pairs)
+    got = kriging.estimate(obs, points(spark, x0, ("x", "y", "t")), k).orderBy("block_id").collect()
+    p, q = ends[:, :3], ends[:, 3:]
+    c = lambda a, b: st.covariance(a[:, None] - b[None])
+    kk = c(x, x)
+    cross = c(x, p) - c(x, q)
+    own = c(p, p) - c(p, q) - c(q, p) + c(q, q) + np.diag([0.2, 0.2])
+    f = np.append(np.ones(9), np.zeros(2))[:, None]
+    a = np.block([[np.block([[kk, cross], [cross.T, own]]), f], [f.T, np.zeros((1, 1))]])
+    for r, at in zip(got, x0):
+        b = np.concatenate([st.covariance(x - at), st.covariance(p - at) - st.covariance(q - at), [1.0]])
+        s = np.linalg.solve(a, b)
+        assert np.isclose(r.estimate, s[:11] @ np.append(z, [0.5, -0.5])) and np.isclose(r.variance, st.at_zero() - s @ b)
+
+
+def test_replayed_joint_simulation_and_wide_form(spark):
+    vgm = {(1, 1): V, (2, 2): V, (1, 2): Variogram((Structure("sph", 1.5, 40.0, 0.1),))}
+    x, z, obs = scattered(spark, 10)
+    both = obs.withColumn("var_id", F.lit(1)).unionByName(obs.where("obs_id % 2 = 0").withColumn("var_id", F.lit(2)))
+    t = targets.regular_grid(spark, [5.0, 5.0], [25.0, 25.0], [4, 4])
+    k = Kriging(vgm, nvar=2, unbiased=False, search=Search(4), means=(0.0, 0.0))
+    path = simulation.random_path(t, 4)
+    one = simulation.simulate(both, t, k, 18, 4, path=path).toPandas().sort_values(["block_id", "var_id", "sim_id"])
+    again = simulation.simulate(both, t, k, 18, 4, path=path, weights=simulation.simulation_weights(both, t, k, path), stretch=3)
+    two = again.toPandas().sort_values(["block_id", "var_id", "sim_id"])
+    assert len(one) == 16 * 2 * 18 and np.allclose(one.value, two.value)
+    flat = simulation.wide(again, t, k, 18)
+    assert flat.count() == 16 and flat.columns[3:5] == ["v1_s1", "v1_s2"] and flat.columns[-1] == "v2_s18"
