@@ -5,12 +5,12 @@ import pytest
 import __spark_entry__ as entry
 from fieldloom.functions.variogram import Structure, Variogram
 from fieldloom.operators import kriging
-from fieldloom.plans import core, general
+from fieldloom.plans import core, further, general
 
 SF = "/root/testdata/sf0.001"
 
 
-QUERIES, ORACLE_SQL = core.QUERIES | general.QUERIES, core.ORACLE_SQL | general.ORACLE_SQL
+QUERIES, ORACLE_SQL = core.QUERIES | general.QUERIES | further.QUERIES, core.ORACLE_SQL | general.ORACLE_SQL | further.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
