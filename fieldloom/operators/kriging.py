@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.variogram import Variogram
 from . import systems
 from .neighbours import Search, neighbours
+from .staging import stage
 from .systems import Gradients, Model
 from .targets import duplicate_places, weighted_nodes
 
@@ -97,19 +98,44 @@ def _drift_of(targets: DataFrame, k: Kriging) -> Column:
     return F.flatten(F.array(*(F.col("drift").cast("array<double>") for _ in range(k.nvar))))
 
 
-def assembled(data: DataFrame, targets: DataFrame, k: Kriging, nodes: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """One row a block with neighbours: near, nodes, rangescale, localnugget, tdrift[, vgm], ready to be solved."""
-    dims, near = list(k.dims), None
+def _alike(data: DataFrame, k: Kriging, order: str | None) -> list[list[int]]:
+    """Variables whose data are the same rows but for their values, and are sought in the same way: one search finds them for all."""
+    if k.nvar == 1 or k.cross_validation:
+        return [[var] for var in range(1, k.nvar + 1)]
+    row = ["kind", "src_id", *k.dims, "err", "drift", *([order] if order else [])]
+    marks = [F.xxhash64(*row), F.xxhash64(F.lit(1), *row)]
+    sums = data.groupBy("var_id").agg(F.count("*").alias("n"), *(F.sum(m.cast("decimal(20,0)")) for m in marks), *(F.bit_xor(m) for m in marks)).collect()
+    of, groups = {r.var_id: tuple(r)[1:] for r in sums}, {}
     for var in range(1, k.nvar + 1):
-        mine = data.where(F.col("var_id") == var)
-        found = neighbours(targets, mine, dims, k.search_of(var), k.cross_validation and var == 1, SIDES, order, carry=(*dims, "err", "drift")).select("block_id", *SIDES, *dims, "err", "drift")
-        if k.cross_validation and var > 1:
+        groups.setdefault((of.get(var), k.search_of(var)), []).append(var)
+    return list(groups.values())
+
+
+def assembled(data: DataFrame, targets: DataFrame, k: Kriging, nodes: DataFrame | None = None, order: str | None = None, values: bool = False) -> DataFrame:
+    """One row a block with neighbours: near, nodes, rangescale, localnugget, tdrift[, vgm], ready to be solved; with ``values`` near has
+    the data's values too."""
+    dims, near, more = list(k.dims), None, ["err", "drift", *(["value"] if values else [])]
+    for same in _alike(data, k, order):
+        first = data.where(F.col("var_id") == same[0])
+        if len(same) > 1 and values:
+            # the values of all variables go with the place; rows that are alike but for the value are copies, and stay apart
+            key = ["kind", "src_id", *dims, "err", "drift", *([order] if order else [])]
+            first = data.where(F.col("var_id").isin(same)).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("var_id", "value"))).alias("all"))
+            copies = (F.size("all") / len(same)).cast("int")
+            first = first.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+            first = first.select(*key, F.lit(same[0]).alias("var_id"), F.array(*(F.get("all", copies * i + F.col("copy")) for i in range(len(same)))).alias("each"))
+        carried = [*dims, "err", "drift", *(["each" if len(same) > 1 else "value"] if values else [])]
+        found = neighbours(targets, first, dims, k.search_of(same[0]), k.cross_validation and same[0] == 1, SIDES, order, carry=tuple(carried)).select("block_id", *SIDES, *carried)
+        if k.cross_validation and same[0] > 1:
             found = found.where(F.col("src_id") != F.col("block_id"))
+        if len(same) > 1:
+            each = F.explode("each") if values else F.explode(F.array(*(F.struct(F.lit(v).cast("int").alias("var_id")) for v in same)))
+            found = found.drop("var_id").withColumn("__v", each).select("block_id", "kind", "__v.var_id", "src_id", *dims, "err", "drift", *(["__v.value"] if values else []))
         near = found if near is None else near.unionByName(found)
     joined = near
     if order is not None:
         joined = _without_colocated(joined, dims)
-    entry = F.struct("kind", "var_id", "src_id", F.array(*dims).alias("x"), "err", "drift")
+    entry = F.struct("kind", "var_id", "src_id", F.array(*dims).alias("x"), *more)
     rows = joined.groupBy("block_id").agg(F.sort_array(F.collect_list(entry)).alias("near"))
     one = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in targets.columns else F.lit(default)
     about = targets.select("block_id", F.array(*(F.col(d).cast("double") for d in dims)).alias("x0"), one("rangescale", 1.0).alias("rangescale"), one("localnugget", 0.0).alias("localnugget"), _drift_of(targets, k).alias("tdrift"))
@@ -191,7 +217,12 @@ def clipped(value: Column, bounds: tuple[float | None, float | None]) -> Column:
 
 def estimate(obs: DataFrame, targets: DataFrame, k: Kriging, nodes: DataFrame | None = None) -> DataFrame:
     """(block_id, var_id, estimate, variance) of every target."""
-    return apply(solve(obs, targets, k, nodes), obs, k, targets)
+    if k.gradients is not None:
+        return apply(stage(solve(obs, targets, k, nodes)), obs, k, targets)
+    # values come along with the data, so no weight is sent to its value
+    out = systems.estimated(assembled(points_of(obs, k), targets, k, nodes, values=True), k.model())
+    every = targets.select("block_id", F.explode(F.sequence(F.lit(1), F.lit(k.nvar))).alias("var_id"))
+    return every.join(out, ["block_id", "var_id"], "left")
 
 
 def _single(out: DataFrame) -> DataFrame:

@@ -268,8 +268,8 @@ def _matrix(array, width: int) -> np.ndarray:
     return np.asarray(array.flatten(), float).reshape(len(array), width) if width else np.zeros((len(array), 0))
 
 
-def solver(model: Model):
-    """For mapInArrow over rows of ``assembled``."""
+def solver(model: Model, estimates: bool = False):
+    """For mapInArrow over rows of ``assembled``; with ``estimates`` its data have values, which the weights are applied to at once."""
 
     def one_shape(m: Model, rows: np.ndarray, data: dict) -> pa.RecordBatch:
         first = data["near_at"][rows]
@@ -298,6 +298,10 @@ def solver(model: Model):
         again = np.ones(len(rows), bool)
         again[np.unique(which, return_index=True)[1]] = False
         g, b, v = m.gradients, len(rows), m.nvar
+        if estimates:
+            made, variance = _applied(m, var, s[:, :n], data["value"][idx]).ravel(), np.einsum("bii->bi", cov).ravel()
+            target = np.tile(np.arange(1, v + 1, dtype=np.int32), b)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(data["block"][rows].astype(np.int64), v)), pa.array(target), pa.array(made, mask=np.isnan(made)), pa.array(variance, mask=np.isnan(variance))], names=["block_id", "var_id", "estimate", "variance"])
         if g is not None:
             kind, var = np.append(kind, np.full(len(g.var), 2)), np.append(var, g.var)
             ids = np.hstack([ids, np.broadcast_to(g.ids, (b, len(g.ids)))])
@@ -325,6 +329,8 @@ def solver(model: Model):
                 "scale": np.asarray(_column(batch, "rangescale"), float), "nugget": np.asarray(_column(batch, "localnugget"), float),
                 "tdrift": _matrix(_column(batch, "tdrift"), model.nvar * model.ndrift).reshape(batch.num_rows, model.nvar, model.ndrift),
             }
+            if estimates:
+                data["value"] = np.asarray(nv.field("value"), float)
             own = _column(batch, "vgm").to_pylist() if model.varying else None
             shapes: dict = {}
             for r in range(batch.num_rows):
@@ -376,6 +382,28 @@ def solved(assembled: DataFrame, model: Model) -> DataFrame:
     return dealt(assembled).mapInArrow(solver(model), SOLVED)
 
 
+def estimated(assembled: DataFrame, model: Model) -> DataFrame:
+    """(block_id, var_id, estimate, variance) of blocks whose data come with their values: what ``kriging.apply`` makes of their weights.
+    There are no pairs of places among them."""
+    return dealt(assembled).mapInArrow(solver(model, True), "block_id long, var_id int, estimate double, variance double")
+
+
+def _applied(model: Model, var: np.ndarray, w: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(blocks, nvar) of weights (blocks, data, nvar) and values (blocks, data)."""
+    out = (w * values[:, :, None]).sum(1)
+    if model.unbiased and not model.standard and model.nvar > 1:
+        # the sum-to-one form shifts each other variable by the difference of local means
+        mean = {j: values[:, var == j].mean(1) for j in np.unique(var).tolist()}
+        for t in range(model.nvar):
+            for j, m in mean.items():
+                if j != t + 1:
+                    out[:, t] += (mean.get(t + 1, 0.0) - m) * w[:, var == j, t].sum(1)
+    if not model.unbiased and model.means:
+        out += (1 - w.sum(1)) * np.asarray(model.means, float)
+    low, high = model.bounds
+    return np.clip(out, -np.inf if low is None else low, np.inf if high is None else high)
+
+
 def factors(assembled: DataFrame, model: Model) -> DataFrame:
     """(factor, data, lower, solved_constraints, schur): one row for each distinct neighbourhood: ids of its data, the Cholesky factor
     of their covariances by rows, K^-1 F by rows, and F' K^-1 F by rows; null where there is no such factor."""
