@@ -210,12 +210,13 @@ def _partners(sets: DataFrame, members: DataFrame, threshold: float) -> DataFram
     rows = sets.join(members.select("t"), "t").select("t", "elements", "weights").mapInArrow(occurrences, "t long, e long")
     common = rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     kept = rows.join(common, "e")
-    shared = kept.groupBy("t").agg(F.count("*").alias("shared"))
+    # one row a text, so that what belongs to it is joined to no more rows than that; the rarest first
+    listed = kept.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("listed")).withColumn("shared", F.size("listed").cast("long"))
     need = F.ceil((F.col("total") + F.greatest("least", F.col("total") * threshold)) * (threshold / (1 + threshold)) - 1e-9)
     # of the T - need + 1 rarest, those that no other text has come first
-    room = members.join(shared, "t").withColumn("room", F.col("shared") - need + 1).where("room > 0")
-    rank = F.row_number().over(Window.partitionBy("t").orderBy("df", "e"))
-    first = kept.join(room.select("t", "room", "total", "shared", "open", "component"), "t").withColumn("rank", rank).where("rank <= room")
+    room = members.join(listed, "t").withColumn("room", (F.col("shared") - need + 1).cast("int")).where("room > 0")
+    first = room.select("t", "total", "shared", "open", "component", F.posexplode(F.slice("listed", F.lit(1), F.col("room"))).alias("at", "o"))
+    first = first.select("t", F.col("o.e").alias("e"), "total", "open", "component", "shared", (F.col("at") + 1).alias("rank"))
     # at their first common shingle, no more overlap is left than the shared shingles from there on
     first = first.select("t", "e", "total", "open", "component", (F.col("shared") - F.col("rank") + 1).alias("ahead"))
     x, y = (first.select("e", *(F.col(c).alias(f"{c}_{n}") for c in ("t", "total", "open", "component", "ahead"))) for n in "xy")

@@ -1,0 +1,15 @@
+"""Steps of operators that must not make more rows than their input holds."""
+
+import numpy as np
+
+from fieldloom.llm import minhash
+
+
+def test_texts_meet_their_shingles_one_row_a_text(spark):
+    """op6: what belongs to a text was joined to each of its shingles' rows; now it is joined once, and shingles follow."""
+    sets = [(t, np.array(e, np.uint64).tobytes(), np.ones(len(e), np.int32).tobytes()) for t, e in ((1, range(1, 21)), (2, range(1, 20)), (3, range(100, 120)))]
+    sets = spark.createDataFrame([(t, bytearray(e), bytearray(w)) for t, e, w in sets], "t long, elements binary, weights binary")
+    members = spark.createDataFrame([(1, 20, 19, True, 1), (2, 19, 19, True, 2), (3, 20, 19, True, 3)], "t long, total long, least long, open boolean, component long")
+    found = minhash._partners(sets, members, 0.8)
+    assert [(r.x, r.y) for r in found.collect()] == [(1, 2)]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
