@@ -158,33 +158,43 @@ def _similar(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
     return low / (int(p.sum()) + int(q.sum()) - low)
 
 
-def _alone(sets: DataFrame, parts: int) -> DataFrame:
-    """(t, alone): the weight of each text's elements that no other text of ``sets`` holds."""
+def _dealt(sets: DataFrame, parts: int, of) -> DataFrame:
+    """(part, t, e, w): the elements of ``sets`` (t, elements, weights), packed by part; ``of`` makes (elements, weights) of a row's two."""
 
-    def rows_of(held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        t = np.repeat([h[0] for h in held], [len(h[1]) // 8 for h in held])
-        e, w = np.frombuffer(b"".join(h[1] for h in held), np.uint64), np.frombuffer(b"".join(h[2] for h in held), np.int32)
+    def rows_of(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        t = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+        e, w = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
         part = (e % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         pieces = [order[cuts[i] : cuts[i + 1]] for i in range(parts)]
-        cols = [[x[i].tobytes() for i in pieces] for x in (t.astype(np.int64), e, w)]
+        cols = [[x[i].tobytes() for i in pieces] for x in (t, e, w)]
         return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "t", "e", "w"])
 
     def deal(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.append(row)
-                size += len(row[1])
+            for t, e, w in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.append((t, *of(np.frombuffer(e, np.uint64), np.frombuffer(w, np.int32))))
+                size += held[-1][1].nbytes
                 if size > DEALT:
                     yield rows_of(held)
                     held, size = [], 0
         if held:
             yield rows_of(held)
 
+    return sets.mapInArrow(deal, "part int, t binary, e binary, w binary")
+
+
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("t", np.int64), ("e", np.uint64), ("w", np.int32))]
+
+
+def _alone(sets: DataFrame, parts: int) -> DataFrame:
+    """(t, alone): the weight of each text's elements that no other text of ``sets`` holds."""
+
     def once(table: pa.Table) -> pa.Table:
-        t, e, w = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("t", np.int64), ("e", np.uint64), ("w", np.int32)))
+        t, e, w = _unpacked(table)
         order = np.argsort(e)
         s = e[order]
         fresh = np.append(True, s[1:] != s[:-1])[: len(s)]
@@ -192,33 +202,56 @@ def _alone(sets: DataFrame, parts: int) -> DataFrame:
         text, at = np.unique(t[single], return_inverse=True)
         return pa.table({"t": text, "alone": np.bincount(at, w[single], len(text)).astype(np.int64)})
 
-    dealt = sets.mapInArrow(deal, "part int, t binary, e binary, w binary")
+    dealt = _dealt(sets, parts, lambda e, w: (e, w))
     return dealt.groupBy("part").applyInArrow(once, "t long, alone long").groupBy("t").agg(F.sum("alone").alias("alone"))
 
 
-def _partners(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) texts that may reach the threshold, x open. ``members``: (t, total, least, open, component), one row a text."""
+def _occurrences(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One element of weight 1 for each unit of weight."""
+    turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    return mix64(np.repeat(e, w) + GOLDEN * turn.astype(np.uint64)), np.ones(len(turn), np.int32)
+
+
+def _partners(sets: DataFrame, members: DataFrame, threshold: float, parts: int = 8, keep=lambda df: df) -> DataFrame:
+    """(x, y) texts that may reach the threshold, x open. ``members``: (t, total, least, open, component), one row a text.
+    ``parts``: tasks that count shingles; ``keep`` stages a table that is read twice."""
+
+    def shared(table: pa.Table) -> pa.Table:
+        """Each text's elements that others hold too, with how many texts do, one row a text."""
+        t, e, _ = _unpacked(table)
+        _, at, df = np.unique(e, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(df[at] > 1)
+        many = many[np.argsort(t[many], kind="stable")]
+        text, first = np.unique(t[many], return_index=True)
+        cuts = np.append(first, len(many))
+        cols = [[x[many[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:])] for x in (df[at].astype(np.int64), e)]
+        return pa.table({"t": text, **{c: pa.array(v, pa.binary()) for c, v in zip(("df", "e"), cols)}})
 
-    def occurrences(batches):
-        for batch in batches:
-            for t, e, w in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                e, w = np.frombuffer(e, np.uint64), np.frombuffer(w, np.int32)
-                turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                each = mix64(np.repeat(e, w) + GOLDEN * turn.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), t)), pa.array(each.astype(np.int64))], names=["t", "e"])
-
-    rows = sets.join(members.select("t"), "t").select("t", "elements", "weights").mapInArrow(occurrences, "t long, e long")
-    common = rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    kept = rows.join(common, "e")
-    # one row a text, so that what belongs to it is joined to no more rows than that; the rarest first
-    listed = kept.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("listed")).withColumn("shared", F.size("listed").cast("long"))
     need = F.ceil((F.col("total") + F.greatest("least", F.col("total") * threshold)) * (threshold / (1 + threshold)) - 1e-9)
-    # of the T - need + 1 rarest, those that no other text has come first
-    room = members.join(listed, "t").withColumn("room", (F.col("shared") - need + 1).cast("int")).where("room > 0")
-    first = room.select("t", "total", "shared", "open", "component", F.posexplode(F.slice("listed", F.lit(1), F.col("room"))).alias("at", "o"))
-    first = first.select("t", F.col("o.e").alias("e"), "total", "open", "component", "shared", (F.col("at") + 1).alias("rank"))
+    names = ["t", "total", "open", "component"]
+
+    def rarest(batches):
+        """Of the T - need + 1 rarest, those that no other text has come first; the others as rows, with how many are left from each on."""
+        for batch in batches:
+            rows, elements, ahead = [], [], []
+            for i, (needed, dfs, es) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4, 7)))):
+                df, e = np.frombuffer(b"".join(dfs), np.int64), np.frombuffer(b"".join(es), np.uint64).astype(np.int64)
+                room = max(0, len(e) - needed + 1)
+                rows.append(np.full(room, i))
+                elements.append(e[np.lexsort((e, df))[:room]])
+                ahead.append(len(e) - np.arange(room))
+            if rows:
+                rows, elements, ahead = (np.concatenate(c).astype(np.int64) for c in (rows, elements, ahead))
+                kept = batch.select(names).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(elements), pa.array(ahead)], names=[*names, "e", "ahead"])
+
+    held = _dealt(sets.join(members.select("t"), "t").select("t", "elements", "weights"), parts, _occurrences)
+    # elements stay packed, one row a text and part, so that no join has a row for each of them
+    listed = held.groupBy("part").applyInArrow(shared, "t long, df binary, e binary").groupBy("t").agg(F.collect_list(F.struct("df", "e")).alias("l"))
+    listed = members.join(listed, "t").select(*names, need.cast("long").alias("need"), F.col("l.df").alias("df"), F.col("l.e").alias("e"))
+    kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in names)
     # at their first common shingle, no more overlap is left than the shared shingles from there on
-    first = first.select("t", "e", "total", "open", "component", (F.col("shared") - F.col("rank") + 1).alias("ahead"))
+    first = keep(listed.mapInArrow(rarest, f"{kinds}, e long, ahead long"))
     x, y = (first.select("e", *(F.col(c).alias(f"{c}_{n}") for c in ("t", "total", "open", "component", "ahead"))) for n in "xy")
     close = F.least("total_x", "total_y") >= F.greatest("total_x", "total_y") * (threshold - 1e-9)
     close = close & (F.least("ahead_x", "ahead_y") >= (F.col("total_x") + F.col("total_y")) * (threshold / (1 + threshold)) - 1e-9)
@@ -294,7 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         if turn == CENTRES:
             least = at.groupBy("band", "key").agg(F.min("total").alias("least"))
             members = at.join(least, ["band", "key"]).groupBy("t", "component").agg(F.max("total").alias("total"), F.min("least").alias("least"), F.max("open").alias("open"))
-            todo = _partners(sets, scratch.table(members, "members"), threshold)
+            todo = _partners(sets, scratch.table(members, "members"), threshold, parts, lambda df: scratch.table(df, "rarest"))
             classes = merge(todo.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb")))
             break
         best = F.min(F.struct((-F.col("shared") / F.col("total")).alias("share"), "t", "total", "shared", "component"))

@@ -1,5 +1,7 @@
 """Steps of operators that must not make more rows than their input holds."""
 
+import re
+
 import numpy as np
 
 from fieldloom.llm import minhash
@@ -13,3 +15,17 @@ def test_texts_meet_their_shingles_one_row_a_text(spark):
     found = minhash._partners(sets, members, 0.8)
     assert [(r.x, r.y) for r in found.collect()] == [(1, 2)]
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequencies_come_without_a_row_a_shingle(spark):
+    """op6: each shingle that texts share was a row of a join with its frequency; now the rarest alone are rows, which meet once."""
+    sets, n = [(1, range(0, 100)), (2, range(5, 105)), (3, range(8, 108))], 100
+    sets = [(t, np.array(e, np.uint64).tobytes(), np.array([2] + [1] * (n - 1), np.int32).tobytes()) for t, e in sets]
+    sets = spark.createDataFrame([(t, bytearray(e), bytearray(w)) for t, e, w in sets], "t long, elements binary, weights binary")
+    members = spark.createDataFrame([(1, 101, 101, True, 1), (2, 101, 101, True, 2), (3, 101, 101, False, 3)], "t long, total long, least long, open boolean, component long")
+    rows = []
+    found = minhash._partners(sets, members, 0.8, 3, lambda df: rows.append(df) or df)
+    assert sorted((r.x, r.y) for r in found.collect()) == [(1, 2), (1, 3), (2, 3)]
+    # 101 of each, of which 90 have to be shared by two texts of similarity 0.8
+    assert rows[0].groupBy("t").count().where("count > 12").isEmpty()
+    assert not re.findall(r"Join Inner, \(e#\d+L? = e#\d+L?\)", found._jdf.queryExecution().optimizedPlan().toString())
