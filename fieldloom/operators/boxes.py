@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Points that are compared with a target one by one; more are parted by medians. Distances of one round.
-DIRECT, AT_ONCE = 4096, 1 << 21
+#: Points that are compared with a target one by one; more are parted by medians. Distances of one round, which a core's cache holds.
+DIRECT, AT_ONCE = 4096, 1 << 17
+#: Groups, at least, whose least distances bound the k-th one; no distance is greater than the last of these.
+GROUPS, FINITE = 64, np.finfo(float).max
 
 
 def splits(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +68,33 @@ def farthest(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def _squares(x: np.ndarray, s: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), len(s)))
-    for i in range(x.shape[1]):
-        gap = x[:, None, i] - s[None, :, i]
-        out += gap * gap
+def _room(x: np.ndarray, s: np.ndarray) -> tuple[int, np.ndarray]:
+    """Points of a round, and the room that all rounds use again for their distances."""
+    step = max(1, AT_ONCE // max(1, len(s)))
+    return step, np.empty((2, min(step, len(x)), len(s)))
+
+
+def _squares(x: np.ndarray, s: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    out, gap = np.empty((2, len(x), len(s))) if room is None else room[:, : len(x)]
+    x, s = np.ascontiguousarray(x.T), np.ascontiguousarray(s.T)
+    for i in range(len(x)):
+        part = gap if i else out
+        np.subtract(x[i][:, None], s[i][None], out=part)
+        np.multiply(part, part, out=part)
+        if i:
+            np.add(out, gap, out=out)
     return out
 
 
+def _bound(d2: np.ndarray, k: int) -> np.ndarray:
+    """For each row a number that k of its distances do not exceed: the k-th of the least of groups, which is near the k-th of all."""
+    groups = max(GROUPS, 8 * k)
+    if d2.shape[1] >= 2 * groups:
+        size = d2.shape[1] // groups
+        d2 = d2[:, : size * groups].reshape(len(d2), size, groups).min(1)
+    return np.partition(d2, k - 1, 1)[:, k - 1]
+
+
 def parts(s: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Rows of ``s`` in leaves of about ``size``, and the leaves' boxes."""
     leaf = descend(splits(s[:: max(1, len(s) // 65_536)], -(-len(s) // size)), s)
@@ -85,9 +106,9 @@ def parts(s: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.nd
 def inside(x: np.ndarray, s: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, squared distance) of all points of ``s`` no farther from ``x`` than the root of ``bound``."""
     out = []
-    step = max(1, AT_ONCE // max(1, len(s)))
+    step, room = _room(x, s)
     for at in range(0, len(x), step):
-        d2 = _squares(x[at : at + step], s)
+        d2 = _squares(x[at : at + step], s, room)
         rows, cols = np.nonzero(d2 <= bound[at : at + step, None])
         out.append((rows + at, cols, d2[rows, cols]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -119,17 +140,17 @@ def _first(rows: np.ndarray, d2: np.ndarray, cols: np.ndarray, k: int) -> tuple[
 
 def _direct(x: np.ndarray, s: np.ndarray, k: int, bound: np.ndarray, before) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = []
-    step = max(1, AT_ONCE // max(1, len(s)))
+    step, room = _room(x, s)
     for at in range(0, len(x), step):
         some = slice(at, at + step)
-        d2 = _squares(x[some], s)
-        if before is not None:
-            d2[before[1][None] >= before[0][some, None]] = np.inf
-        limit = bound[some]
+        d2 = _squares(x[some], s, room)
+        if before is not None and before[1].max(initial=-1) >= before[0][some].min():
+            np.copyto(d2, np.inf, where=before[1][None] >= before[0][some, None])
+        limit = np.minimum(bound[some], FINITE)
         if len(s) > k:
-            limit = np.minimum(limit, np.partition(d2, k - 1, 1)[:, k - 1])
-        rows, cols = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
-        out.append(_first(rows + at, d2[rows, cols], cols, k))
+            limit = np.minimum(limit, _bound(d2, k))
+        hits = np.flatnonzero(d2 <= limit[:, None])
+        out.append(_first(hits // max(1, len(s)) + at, d2.ravel()[hits], hits % max(1, len(s)), k))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 

@@ -102,3 +102,24 @@ def test_one_tree_a_band_of_the_path(spark, monkeypatch):
         d2 = (x[i, 0] - x[:i, 0]) ** 2 + (x[i, 1] - x[:i, 1]) ** 2
         assert [o for _, o in sorted(found.get(i, []))] == np.lexsort((np.arange(i), d2))[:3].tolist()
     assert len(calls) == 1
+
+
+def test_distances_of_a_round_fit_a_cache_and_ties_stay():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    for n, k, before in ((4096, 3, False), (4096, 3, True), (90, 20, True), (1, 2, False)):
+        x, s = np.floor(r.random((700, 2)) * 40), np.floor(r.random((n, 2)) * 40)
+        order = (r.integers(0, 900, 700), r.integers(0, 900, n)) if before else None
+        bound = np.where(r.random(700) < 0.5, 9.0, np.inf)
+        tracemalloc.start()
+        rows, cols, d2 = boxes.search(x, s, k, bound, order)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 << 20
+        want = []
+        for i in range(700):
+            d = ((x[i] - s) ** 2).sum(1)
+            ok = np.flatnonzero((d <= bound[i]) & (order[1] < order[0][i] if before else True))
+            want += [(i, j, d[j]) for j in ok[np.lexsort((ok, d[ok]))][:k]]
+        assert list(zip(rows.tolist(), cols.tolist(), d2.tolist())) == want
