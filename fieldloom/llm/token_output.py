@@ -35,6 +35,8 @@ from .tokens import encoder, in_batches
 MAGIC, HEAD = b"FLH2", "<4sIIIQ"
 #: Longest code, tokens between bit-offset checkpoints, tokens of a block at least (the last of a batch has fewer).
 MAX_BITS, STRIDE, BLOCK = 16, 128, 1 << 19
+#: Tokens that are put into words together, a multiple of STRIDE: their numbers stay in a core's cache.
+TOGETHER = 1 << 13
 #: Text that one task encodes, about.
 PART_BYTES = 64 << 20
 
@@ -92,20 +94,25 @@ def decode_table(lengths: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray,
 
 
 def encode_block(doc_ids: np.ndarray, known: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, first_token: int, codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    at = ends - size
-    words = np.zeros((int(ends[-1]) >> 6) + 2 if len(ids) else 1, np.uint64)
-    if len(ids):
+    width, words = lengths.astype(np.int64), np.zeros((len(ids) * MAX_BITS >> 6) + 2, np.uint64)
+    points, done = [np.empty(0, "<u4")], 0
+    for begin in range(0, len(ids), TOGETHER):
+        some = ids[begin : begin + TOGETHER]
+        size = width[some]
+        at = np.cumsum(size)
+        end = done + int(at[-1])
+        at += done - size
+        done = end
         word, shift = at >> 6, 64 - (at & 63) - size
-        value = codes[ids]
+        value = codes[some]
         over = np.flatnonzero(shift < 0)
-        kept = value << np.maximum(shift, 0).astype(np.uint64)
-        kept[over] = value[over] >> (-shift[over]).astype(np.uint64)
+        kept = value << np.maximum(shift, 0).view(np.uint64)
+        kept[over] = value[over] >> (-shift[over]).view(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(kept, first)
-        words[word[over] + 1] |= value[over] << (64 + shift[over]).astype(np.uint64)
-    points = at[::STRIDE].astype("<u4")
+        words[word[first]] |= np.bitwise_or.reduceat(kept, first)
+        words[word[over] + 1] |= value[over] << (64 + shift[over]).view(np.uint64)
+        points.append(at[::STRIDE].astype("<u4"))
+    points, words = np.concatenate(points), words[: (done >> 6) + 2 if len(ids) else 1]
     head = struct.pack(HEAD, MAGIC, len(doc_ids), len(ids), len(points), first_token)
     return head + doc_ids.astype("<i8").tobytes() + np.packbits(known).tobytes() + doc_tokens.astype("<u4").tobytes() + points.tobytes() + words.astype(">u8").tobytes() + bytes(8)
 
@@ -237,8 +244,9 @@ def read_dataset(spark: SparkSession, path: str, with_ids: bool = False) -> Data
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first().lengths, np.uint8)  # one entry an id
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
+    table = decode_table(lengths)
+
     def run(batches):
-        table = decode_table(lengths)
         for batch in batches:
             for payload in batch.column(0):
                 doc_ids, known, n, first, ids = decode_block(payload.as_py(), table)

@@ -29,3 +29,45 @@ def test_frequencies_come_without_a_row_a_shingle(spark):
     # 101 of each, of which 90 have to be shared by two texts of similarity 0.8
     assert rows[0].groupBy("t").count().where("count > 12").isEmpty()
     assert not re.findall(r"Join Inner, \(e#\d+L? = e#\d+L?\)", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_op10_blocks_are_put_together_in_a_cache():
+    """The room of a block's encoding is its output and a few numbers a token at a time, and the bytes are those of one round."""
+    import tracemalloc
+
+    import numpy as np
+
+    from fieldloom.llm import token_output as out
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 129, 8191, 8193, 1 << 18):
+        ids = np.minimum(r.geometric(0.001, n), 20_000).astype("<u2")
+        lengths = out.huffman_lengths(np.bincount(ids, minlength=3))
+        codes, sizes = out.canonical_codes(lengths), np.array([n])
+        tracemalloc.start()
+        payload = out.encode_block(np.arange(1), np.ones(1, bool), sizes, ids, 5, codes, lengths)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * n + (1 << 20)
+        if n:
+            ends = np.cumsum(lengths[ids].astype(np.int64))
+            bits = "".join(f"{int(codes[i]):0{lengths[i]}b}" for i in ids[:5000].tolist())
+            at = 24 + 8 + 1 + 4 + 4 * -(-n // out.STRIDE)
+            assert "".join(f"{b:08b}" for b in payload[at : at + len(bits) // 8]) == bits[: len(bits) // 8 * 8]
+            assert len(payload) == at + 8 * ((int(ends[-1]) >> 6) + 2) + 8
+            assert (out.decode_block(payload, out.decode_table(lengths))[4] == ids).all()
+
+
+def test_op10_ascii_texts_are_cut_as_all_others():
+    from tokenizers import Tokenizer
+
+    import numpy as np
+    import public_tokenizers
+    from fieldloom.llm import tokens
+
+    r = np.random.default_rng(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["".join(map(chr, r.choice([*range(128), *[32, 10, 39, 115, 97, 49] * 40], 60))) for _ in range(3000)]
+    library = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokens.ByteLevelEncoder(path).encode(texts) == library
+    assert [tokens.ASCII.findall(t) for t in texts] == [tokens.BYTE_LEVEL.findall(t) for t in texts]
