@@ -8,7 +8,7 @@
    is an Elias-Fano sequence with monotone pointers, log probabilities are quantised to 16 bits. The trie is one buffer,
    read in place, from memory or from a mapped file.
 3. The shard looks its batches' trigrams up: contexts in order, successors between a context's two pointers. What it gives
-   back is one sum a document. Shards are worked off in ROUNDS rounds. A word with more than HOT training tokens is dealt over several shards by the
+   back is one sum a document. A shard of many trigrams is worked off in pieces, ranges of its contexts, each with its own trie. Shards are worked off in ROUNDS rounds. A word with more than HOT training tokens is dealt over several shards by the
    word before it; its successor counts, summed over all batches first, go to each of them.
 
 The model interpolates: p(w|u,v) = max(c - D, 0) / c(u,v) + a(u,v) p(w|v), and so on down to the base probability of a word.
@@ -37,6 +37,8 @@ UNIT = 1 / 2048  # of a quantised log10
 END = np.uint64(0x51ED270B0F0F1A2B)
 #: Bytes of text in a batch; trigrams of a shard, about; training tokens of a word from which on it is dealt further.
 BATCH, SHARD, HOT = 4 << 20, 800_000, 2_000_000
+#: Trigrams of a shard that are worked off together.
+PIECE = 400_000
 #: Rounds in which the shards are worked off: only one round's trigrams are on disk at a time.
 ROUNDS = 4
 #: Contexts whose levels are decoded together in a lookup.
@@ -314,6 +316,12 @@ def _batched(batches):
         yield emit()
 
 
+def _each(batch: pa.RecordBatch):
+    """Rows as dictionaries, one at a time."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 def _tokens(row) -> tuple[np.ndarray, ...]:
     """(ids, none, out, lens, words, tokens, document of each token) of a batch."""
     ids, none, out, lens = _unpack(row["docs"])
@@ -326,7 +334,7 @@ def _word_counts(batches: DataFrame, parts: int) -> DataFrame:
 
     def deal(rows):
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 _, _, out, _, words, tokens, doc = _tokens(row)
                 n = np.bincount(tokens, ~out[doc], len(words)).astype(np.uint32)
                 part = (words % np.uint64(parts)).astype(np.int64)
@@ -347,6 +355,63 @@ def _word_counts(batches: DataFrame, parts: int) -> DataFrame:
     return batches.mapInArrow(deal, "part int, batch long, w binary, n binary").groupBy("part").applyInArrow(add, "part int, batch long, c binary")
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``x``, which is sorted in place, and how often each occurs."""
+    x.sort()
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def shard_sums(blobs, pairs: tuple[np.ndarray, ...], is_hot, piece: int = PIECE) -> list[bytes]:
+    """For each batch's packed trigrams of one shard, the packed sums of its documents.
+
+    Contexts (v, u) are worked off in pieces of about ``piece`` trigrams, with a trie for each: beyond the trigrams themselves
+    memory does not grow with the shard. ``pairs``: (v, w, count), by hashes, of the words that ``is_hot`` finds among hashes.
+    """
+    names = [_unpack(b.as_py())[0].copy() for b in blobs]  # not a view that keeps all of a batch
+    words = np.unique(np.concatenate([*names, *pairs[:2]]))
+    p1, size = np.zeros(len(words), np.uint16), max(1, len(words))
+    rows = []
+    for mine, blob in zip(names, blobs):
+        _, unit, v, u, w, doc, train, docs = _unpack(blob.as_py())
+        at = np.searchsorted(words, mine)
+        p1[at] = unit
+        rows.append((at[v] * size + at[u], at[w].astype(np.uint32), doc, train.astype(bool), int(docs[0])))
+    del names
+    hot = is_hot(words)
+    contexts, many = _runs(np.concatenate([r[0] for r in rows]))
+    own = []
+    for vu, w, doc, train, _ in rows:
+        v = vu // size
+        k = np.flatnonzero(train[doc] & ~hot[v])
+        own.append(v[k] * size + w[k])
+    pair, pn = _runs(np.concatenate(own))
+    del own
+    if len(pairs[0]):
+        # base probabilities of words that only the summed pairs have matter to no trigram here
+        pair = np.append(pair, np.searchsorted(words, pairs[0]) * size + np.searchsorted(words, pairs[1]))
+        order = np.argsort(pair, kind="stable")
+        pair, pn = pair[order], np.append(pn, pairs[2])[order]
+    sums = [np.zeros(r[4]) for r in rows]
+    ends = np.cumsum(many)
+    n = int(ends[-1]) if len(ends) else 0
+    cuts = np.unique(np.append(np.searchsorted(ends, np.linspace(0, n, -(-n // piece) + 1)[1:-1]), [0, len(contexts)]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        some = contexts[a:b]
+        picked = [np.flatnonzero((r[0] >= some[0]) & (r[0] <= some[-1])) for r in rows]
+        keys = [np.searchsorted(some, r[0][k]) * size + r[1][k] for r, k in zip(rows, picked)]
+        seen, count = _runs(np.concatenate([x[r[3][r[2][k]]] for x, r, k in zip(keys, rows, picked)]))
+        v, u = np.divmod(some[seen // size], size)
+        near = slice(*np.searchsorted(pair, (some[0] // size * size, (some[-1] // size + 1) * size)))
+        trie = NgramTrie(NgramTrie.build(words, v, u, seen % size, count, (*np.divmod(pair[near], size), pn[near]), p1))
+        asked = _runs(np.concatenate(keys))[0]
+        v, u = np.divmod(some[asked // size], size)
+        units = trie.log_units(v, u, asked % size, p1)
+        for total, x, r, k in zip(sums, keys, rows, picked):
+            total += np.bincount(r[2][k], units[np.searchsorted(asked, x)], len(total))
+    return [_pack(total) for total in sums]
+
+
 def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
@@ -400,7 +465,7 @@ def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col:
 
         def run(frames):
             for frame in frames:
-                for row in frame.to_pylist():
+                for row in _each(frame):
                     out: list[tuple[int, bytes]] = []
                     ids, none, held, lens, words, tokens, doc = _tokens(row)
                     c = _unpack(row["c"])[0].astype(float)
@@ -434,7 +499,7 @@ def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col:
 
     def hot_pairs(frames):
         for batch in frames:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 _, _, held, lens, words, tokens, doc = _tokens(row)
                 v = np.roll(tokens, 1)
                 v[np.cumsum(lens.astype(np.int64)) - lens] = int(np.searchsorted(words, END))
@@ -458,42 +523,8 @@ def score(docs: DataFrame, n_bytes: float = 0, id_col: str = "doc_id", text_col:
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left.column("shard")[0].as_py() < 0:
             return left
-        got = [_unpack(b) for b in left.column("blob").to_pylist()]
-        extra = right.column("w").to_numpy().astype(np.uint64), right.column("v").to_numpy().astype(np.uint64)
-        words = np.unique(np.concatenate([*(g[0] for g in got), *extra]))
-        p1, size = np.zeros(len(words), np.uint16), max(1, len(words))
-        tri, n = [], []
-        for g in got:
-            at = np.searchsorted(words, g[0])
-            p1[at] = g[1]
-            v, u, w = (at[g[k]] for k in (2, 3, 4))
-            tri.append((v * size + u) * size + w if size < 1 << 21 else np.stack([v, u, w], 1))
-            n.append(g[6][g[5]])
-        if size < 1 << 21:
-            keys, which = np.unique(np.concatenate(tri), return_inverse=True)
-            v, u, w = keys // (size * size), keys // size % size, keys % size
-        else:
-            keys, which = np.unique(np.concatenate(tri), axis=0, return_inverse=True)
-            v, u, w = keys.T
-        count = np.bincount(which, np.concatenate(n), len(keys))
-        mine = count > 0
-        is_hot = (parts_of(words) > 1)[v]
-        own = mine & ~is_hot
-        pair, at = np.unique(v[own] * size + w[own], return_inverse=True)
-        pn = np.bincount(at, count[own], len(pair))
-        if right.num_rows:
-            # base probabilities of words that only the summed pairs have matter to no trigram here
-            more = np.searchsorted(words, extra[1]) * size + np.searchsorted(words, extra[0])
-            pair, pn = np.append(pair, more), np.append(pn, right.column("n").to_numpy())
-            order = np.argsort(pair, kind="stable")
-            pair, pn = pair[order], pn[order]
-        trie = NgramTrie(NgramTrie.build(words, v[mine], u[mine], w[mine], count[mine], (pair // size, pair % size, pn), p1))
-        units = trie.log_units(v, u, w, p1)
-        out, start = [], 0
-        for g in got:
-            mine = which[start : start + len(g[2])]
-            start += len(g[2])
-            out.append(_pack(np.bincount(g[5], units[mine], int(g[7][0]))))
+        pairs = right.column("v").to_numpy().astype(np.uint64), right.column("w").to_numpy().astype(np.uint64), right.column("n").to_numpy()
+        out = shard_sums(left.column("blob"), pairs, lambda words: parts_of(words) > 1)
         return pa.table({"shard": left.column("shard"), "batch": left.column("batch"), "blob": pa.array(out, pa.binary())})
 
     sums, turns = None, []

@@ -71,3 +71,29 @@ def test_op10_ascii_texts_are_cut_as_all_others():
     library = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
     assert tokens.ByteLevelEncoder(path).encode(texts) == library
     assert [tokens.ASCII.findall(t) for t in texts] == [tokens.BYTE_LEVEL.findall(t) for t in texts]
+
+
+def test_lm_shard_memory_grows_with_its_trigrams_alone():
+    """A shard of many trigrams is worked off in pieces, with the sums of one piece."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.llm import lm
+
+    r, n, kinds = np.random.default_rng(3), 20_000, 5_000
+    names = np.sort(r.integers(0, 1 << 63, kinds, np.uint64))
+    train = (np.arange(300) % 5 > 0).astype(np.uint8)
+    some = lambda top: r.integers(0, top, n).astype(np.uint32)
+    blobs = [lm._pack(names, np.full(kinds, 5000, np.uint16), np.sort(some(3)), some(kinds), some(kinds), some(300), train, np.array([300], np.uint32)) for _ in range(30)]
+    blobs = pa.array(blobs, pa.binary())
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sums, peaks = [], []
+    for piece in (1 << 40, 50_000):
+        tracemalloc.start()
+        sums.append([lm._unpack(b)[0] for b in lm.shard_sums(blobs, none, lambda words: np.zeros(len(words), bool), piece)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*sums))
+    assert peaks[1] < 64 * 30 * n < peaks[0]
