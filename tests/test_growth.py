@@ -123,3 +123,32 @@ def test_distances_of_a_round_fit_a_cache_and_ties_stay():
             ok = np.flatnonzero((d <= bound[i]) & (order[1] < order[0][i] if before else True))
             want += [(i, j, d[j]) for j in ok[np.lexsort((ok, d[ok]))][:k]]
         assert list(zip(rows.tolist(), cols.tolist(), d2.tolist())) == want
+
+
+def test_range_search_tasks_make_a_bounded_number_of_pairs(spark):
+    """Targets of one leaf are parted so that a task holds about PAIRS pairs, however many lie within the distance."""
+    import pyarrow as pa
+
+    from fieldloom.operators import ranges
+
+    sources = 1_000
+    visits = spark.range(15_000).select(F.col("id").alias("block_id"), F.lit(3).alias("leaf"))
+    o = spark.range(sources).select(F.col("id").alias("obs_id"), F.lit(3).alias("leaf"))
+    run = lambda t, o: pa.table({"targets": pa.array([t.num_rows]), "pairs": pa.array([t.num_rows * o.num_rows])})
+    met = ranges._opened(visits, o, run, "targets long, pairs long", ranges._at_once({"n": np.array([sources])})).collect()
+    assert sum(r.targets for r in met) == 15_000
+    assert max(r.pairs for r in met) < 1.2 * ranges.PAIRS
+
+
+def test_range_search_is_dealt_by_its_pairs(spark, monkeypatch):
+    """Few bytes can make very many pairs: partitions follow from the pairs, and are not joined for their few bytes."""
+    from fieldloom.operators import ranges
+
+    monkeypatch.setattr(ranges, "PAIRS", 1 << 14)
+    at = spark.range(3_000).select(F.col("id").alias("block_id"), (F.col("id") % 61).cast("double").alias("x"), (F.col("id") % 53).cast("double").alias("y"))
+    found = ranges.within(at, at.withColumnRenamed("block_id", "obs_id"), ["x", "y"], 10.0)
+    used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 16
+    near = lambda i, j: (i % 61 - j % 61) ** 2 + (i % 53 - j % 53) ** 2 <= 100
+    i = np.arange(3_000)
+    assert found.count() == near(i[:, None], i[None]).sum()
