@@ -152,3 +152,43 @@ def test_range_search_is_dealt_by_its_pairs(spark, monkeypatch):
     near = lambda i, j: (i % 61 - j % 61) ** 2 + (i % 53 - j % 53) ** 2 <= 100
     i = np.arange(3_000)
     assert found.count() == near(i[:, None], i[None]).sum()
+
+
+def test_range_search_stages_few_rows_beside_its_pairs(spark, monkeypatch):
+    """A source is sent once to a group of targets, not a target to each leaf that it reaches: those grow with the pairs."""
+    from fieldloom.operators import ranges
+
+    held = []
+    staged = ranges.stage
+
+    def stage(df):
+        out = staged(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranges, "stage", stage)
+    at = spark.range(40_000).select(F.col("id").alias("block_id"), (F.col("id") * 4099 % 10007).cast("double").alias("x"), (F.col("id") * 6151 % 9973).cast("double").alias("y"))
+    found = ranges.within(at, at.withColumnRenamed("block_id", "obs_id"), ["x", "y"], 700.0)
+    assert sum(held) <= 3 * 40_000
+    assert found.count() > 100 * 3 * 40_000
+
+
+def test_range_search_by_groups_and_slabs_is_whole(spark, monkeypatch):
+    """Distances of every magnitude and many slabs, chunks and equal places: each pair once, and none for a null, negative or undefined distance."""
+    from fieldloom.operators import ranges
+
+    monkeypatch.setattr(ranges, "SLAB", 300)
+    r = np.random.default_rng(11)
+    s, x = np.floor(r.random((3_000, 2)) * 90), np.floor(r.random((700, 2)) * 120) - 15
+    s[:900] = (7.0, 8.0)
+    x[:60] = (7.0, 12.0)
+    radius = [None if i % 13 == 0 else (0.0, 1.0, 4.0, 4.0, 9.0, -1.0, float("nan"), 1e9, float("inf"), 0.01)[i % 10] for i in range(700)]
+    t = spark.createDataFrame([(f"b{i}", *map(float, x[i]), radius[i]) for i in range(700)], "block_id string, x double, y double, r double")
+    o = spark.createDataFrame([(i, f"n{i % 5}", *map(float, s[i])) for i in range(3_000)], "obs_id long, kind string, x double, y double")
+    d2 = (x[:, None, 0] - s[None, :, 0]) ** 2 + (x[:, None, 1] - s[None, :, 1]) ** 2
+    ok = np.array([np.nan if v is None or v < 0 else v * v for v in radius])
+    want = [(f"b{i}", j, f"n{j % 5}", d2[i, j]) for i, j in zip(*np.nonzero(d2 <= ok[:, None]))]
+    for pairs in (1 << 22, 1 << 14):
+        monkeypatch.setattr(ranges, "PAIRS", pairs)
+        assert sorted(map(tuple, ranges.within(t, o, ["x", "y"], "r", sides=("obs_id", "kind")).toPandas().to_numpy().tolist())) == sorted(want)
+    assert ranges.within(t.limit(0), o, ["x", "y"], "r").count() == 0
